@@ -48,7 +48,9 @@ WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM  # bytes before an anchor that its windows reach
 #: Members of a group of suffixes that one task sorts; larger ones are split.
 HOT = 1000
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 18
+#: Documents of a chunk file at most.
+CHUNK_ROWS = 20_000
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -65,14 +67,16 @@ def _slide(f: np.ufunc, a: np.ndarray, width: int) -> np.ndarray:
 class Batch:
     """Some documents laid end to end."""
 
-    def __init__(self, first_row: int, texts: list[bytes]):
-        self.first_row = first_row
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
+    def __init__(self, first_row: int, data: np.ndarray, cuts: np.ndarray):
+        """data: bytes; cuts: where documents start in it, and the end."""
+        self.first_row, self.data = first_row, data
+        self.starts, self.ends = cuts[:-1].astype(np.int64), cuts[1:].astype(np.int64)
         self._prefix = None
 
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Batch:
+        return cls(0, np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
     @property
     def prefix(self) -> np.ndarray:
         if self._prefix is None:
@@ -113,18 +117,24 @@ def read_batches(path: str, columns: list[str]) -> Iterator[tuple[int, list]]:
 
 
 def batches(path: str, text_col: str) -> Iterator[Batch]:
-    first, texts, size = 0, [], 0
-    for row, (column,) in read_batches(path, [text_col]):
-        for k, t in enumerate(_texts(column)):
-            if not texts:
-                first = row + k
-            texts.append(t)
-            size += len(t)
-            if size >= BATCH_BYTES:
-                yield Batch(first, texts)
-                texts, size = [], 0
-    if texts:
-        yield Batch(first, texts)
+    """The documents of a chunk file in batches of about BATCH_BYTES, off Arrow's buffers."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    fs, name = open_fs(path)
+    row = 0
+    with fs.open_input_file(name) as f:
+        for records in pq.ParquetFile(f).iter_batches(batch_size=512, columns=[text_col]):
+            texts = records.column(0).cast(pa.large_binary()).fill_null(b"")
+            _, places, data = texts.buffers()
+            cuts = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+            part = (cuts[1:] - cuts[0] - 1) // BATCH_BYTES
+            edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            for a, z in zip(edge[:-1], edge[1:]):
+                if z > a:
+                    yield Batch(row + a, flat[cuts[a] : cuts[z]], cuts[a : z + 1] - cuts[a])
+            row += len(texts)
 
 
 # -- suffix sorting ------------------------------------------------------------------
@@ -269,7 +279,7 @@ class Corpus:
         self.spark: SparkSession = df.sparkSession
         self.text_col, self.id_col = text_col, id_col
         path = fresh_path(self.spark, "repeat-texts")
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", CHUNK_ROWS).parquet(path)
         self.files = part_files(self.spark, path)
         self.schema = df.schema
         stored = self.spark.read.schema(df.schema).parquet(path)
@@ -370,22 +380,48 @@ class _Fetch:
     """Contexts around noted places of a chunk."""
 
     def __init__(self, path: str, text_col: str, order: np.ndarray, bits: int, place: np.ndarray):
-        row_of = {int(d): r for r, d in enumerate(order)}
-        rows = np.array([row_of[int(p) >> bits] for p in place], np.int64)
+        by_number = np.argsort(order, kind="stable")
+        rows = by_number[np.searchsorted(order, place >> bits, sorter=by_number)]
+        within = (place & ((1 << bits) - 1)).tolist()
         self.left, self.contexts = np.zeros(len(place), np.int64), [b""] * len(place)
         by = np.argsort(rows, kind="stable")
         sorted_rows = rows[by]
-        for first, (column,) in read_batches(path, [text_col]):
-            a, z = np.searchsorted(sorted_rows, [first, first + len(column)])
-            texts: dict[int, bytes] = {}
-            for k in by[a:z]:
-                r = int(rows[k])
-                if r not in texts:
-                    texts = {r: _texts([column[r - first]])[0]}
-                at = int(place[k]) & ((1 << bits) - 1)
-                low = max(0, at - REACH)
+        for b in batches(path, text_col):
+            a, z = np.searchsorted(sorted_rows, [b.first_row, b.first_row + len(b.starts)])
+            flat = b.data.tobytes() if z > a else b""
+            for k in by[a:z].tolist():
+                doc, at = rows[k] - b.first_row, within[k]
+                start, low = b.starts[doc], max(0, at - REACH)
                 self.left[k] = at - low
-                self.contexts[k] = texts[r][low : at + WINDOW]
+                self.contexts[k] = flat[start + low : min(start + at + WINDOW, b.ends[doc])]
+
+    def cores(self, k: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the places k those whose windows of a range fit, with two numbers of what these share.
+
+        The core of a wider range is hashed once: contexts that meet by a collision are
+        told apart when windows are compared.  A single window is hashed to 128 bits.
+        """
+        kept, one, two = [], [], []
+        salt = rolling.mix(np.array([low * 256 + high + 1], np.uint64))
+        for part in (k[j : j + 4096] for j in range(0, len(k), 4096)):
+            texts = [self.contexts[j] for j in part.tolist()]
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            base = np.cumsum(size) - size
+            start, end = self.left[part] - low, self.left[part] + WINDOW - high
+            ok = (start >= 0) & (end <= size)
+            start, end = (base + start)[ok], (base + end)[ok]
+            kept.append(part[ok])
+            data = b"".join(texts)
+            if low == high:
+                pairs = [hashlib.blake2b(data[a:z], digest_size=16, salt=bytes([low])).digest() for a, z in zip(start.tolist(), end.tolist())]
+                numbers = np.frombuffer(b"".join(pairs), np.int64).reshape(-1, 2)
+                one.append(numbers[:, 0])
+                two.append(numbers[:, 1])
+            else:
+                prefix = rolling.prefix(np.frombuffer(data, np.uint8))
+                one.append(rolling.mix(rolling.spans(prefix, start, end) ^ salt).view(np.int64))
+                two.append(np.zeros(len(start), np.int64))
+        return (np.concatenate(kept), np.concatenate(one), np.concatenate(two)) if kept else (k, EMPTY[0], EMPTY[0])
 
 
 def _split(low: int, high: int, ways: int) -> list[tuple[int, int]]:
@@ -400,16 +436,16 @@ def _cores(corpus: Corpus, members: DataFrame, ways: int) -> DataFrame:
 
     def work(chunk: int, order: np.ndarray, notes: dict) -> pd.DataFrame:
         place, reach = notes.get(2, EMPTY)
-        fetch = _Fetch(files[chunk], text_col, order, bits, place) if len(place) else None
+        if not len(place):
+            return pd.DataFrame({c: [] for c in ("chunk", "place", "low", "high", "core", "tail")})
+        fetch = _Fetch(files[chunk], text_col, order, bits, place)
         out = []
-        for k in range(len(place)):
-            text, left = fetch.contexts[k], int(fetch.left[k])
-            for a, b in _split(int(reach[k]) >> 8, int(reach[k]) & 255, ways):
-                start, end = left - a, left + WINDOW - b
-                if start >= 0 and end <= len(text):
-                    core = hashlib.blake2b(text[start:end], digest_size=16, salt=bytes([a, b])).digest()
-                    out.append((chunk, int(place[k]), a, b, int.from_bytes(core[:8], "little", signed=True), int.from_bytes(core[8:], "little", signed=True)))
-        return pd.DataFrame(out, columns=["chunk", "place", "low", "high", "core", "tail"])
+        for r in np.unique(reach).tolist():
+            own = np.flatnonzero(reach == r)
+            for a, b in _split(r >> 8, r & 255, ways):
+                k, core, tail = fetch.cores(own, a, b)
+                out.append(pd.DataFrame({"chunk": np.int32(chunk), "place": place[k], "low": np.int32(a), "high": np.int32(b), "core": core, "tail": tail}))
+        return pd.concat(out)
 
     return materialize(corpus.over_chunks([_note(members, 2, "place", "range")], work, shape), "cores")
 
@@ -444,12 +480,13 @@ def _compared(corpus: Corpus, members: DataFrame) -> DataFrame:
             return pd.DataFrame({c: [] for c in ("chunk", "place", "low", "high", "core", "tail", "left", "context")})
         got = _Fetch(files[chunk], text_col, order, bits, place)
         out = []
-        for p, r, left, text in zip(place.tolist(), reach.tolist(), got.left.tolist(), got.contexts):
+        for r in np.unique(reach).tolist():
             a, b = r >> 8, r & 255
-            core = hashlib.blake2b(text[left - a : left + WINDOW - b], digest_size=16, salt=bytes([a, b])).digest()
-            low = max(0, left - b)
-            out.append((chunk, p, a, b, int.from_bytes(core[:8], "little", signed=True), int.from_bytes(core[8:], "little", signed=True), left - low, text[low : left + WINDOW - a]))
-        return pd.DataFrame(out, columns=["chunk", "place", "low", "high", "core", "tail", "left", "context"])
+            k, core, tail = got.cores(np.flatnonzero(reach == r), a, b)
+            low = np.maximum(0, got.left[k] - b)
+            texts = [got.contexts[j][c : e + WINDOW - a] for j, c, e in zip(k.tolist(), low.tolist(), got.left[k].tolist())]
+            out.append(pd.DataFrame({"chunk": np.int32(chunk), "place": place[k], "low": np.int32(a), "high": np.int32(b), "core": core, "tail": tail, "left": (got.left[k] - low).astype(np.int32), "context": texts}))
+        return pd.concat(out)
 
     pool = corpus.over_chunks([notes], fetch, "chunk int, place long, low int, high int, core long, tail long, left int, context binary")
 
