@@ -203,7 +203,7 @@ def finalize(entries: DataFrame, targets: DataFrame, repairs: DataFrame | None =
     parts = scopes(entries)
     literals = targets.groupBy("doc_id").agg(F.flatten(F.collect_list("redaction_literals")).alias("literals"))
     plan = R.scope_plan(literals, targets, parts.select("doc_id", "scope_path"))
-    after = rewrite(entries, plan, repairs, placeholder)
+    after = rewrite(entries, plan, repairs, placeholder).persist()
     seen = surfaces(after)
     before = V.word_counts(scope_texts(parts), "words_before")
     words = V.word_counts(scope_texts(scopes(after)), "words_after")
@@ -219,7 +219,9 @@ def guided_redaction(entries: DataFrame, targets: DataFrame, placeholder: str =
     The first pass is the boundary of an action, since the second works on its survivors;
     the repair pass starts from the original entries of the dirty documents alone.
     """
-    grown, repairs, summary = V.preflight(surfaces(entries), targets)
+    entries = entries.persist()
+    grown, repairs, summary = V.preflight(surfaces(entries).persist(), targets)
+    grown, repairs = grown.persist(), repairs.persist()
     first, report = finalize(entries, grown, repairs, placeholder)
     report = report.persist()
     dirty = report.filter("not is_clean").select("doc_id")
