@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from inkveil.functions import lexicon as L
 from inkveil.operators import redact as R
 from inkveil.operators import verify as V
+from inkveil.sources.shared import written
 
 MOST_INPUT, MOST_ENTRY = 50 << 20, 20 << 20
 #: The earliest date a ZIP entry can have, for output that does not depend on the clock.
@@ -203,8 +204,8 @@ def finalize(entries: DataFrame, targets: DataFrame, repairs: DataFrame | None =
     parts = scopes(entries)
     literals = targets.groupBy("doc_id").agg(F.flatten(F.collect_list("redaction_literals")).alias("literals"))
     plan = R.scope_plan(literals, targets, parts.select("doc_id", "scope_path"))
-    after = rewrite(entries, plan, repairs, placeholder).persist()
-    seen = surfaces(after)
+    after = written(rewrite(entries, written(plan, "plan"), repairs, placeholder), "redacted")
+    seen = written(surfaces(after), "surfaces")
     before = V.word_counts(scope_texts(parts), "words_before")
     words = V.word_counts(scope_texts(scopes(after)), "words_after")
     report = before.join(words, "doc_id").join(V.verify(seen, targets), "doc_id")
@@ -219,16 +220,16 @@ def guided_redaction(entries: DataFrame, targets: DataFrame, placeholder: str =
     The first pass is the boundary of an action, since the second works on its survivors;
     the repair pass starts from the original entries of the dirty documents alone.
     """
-    entries = entries.persist()
-    grown, repairs, summary = V.preflight(surfaces(entries).persist(), targets)
-    grown, repairs = grown.persist(), repairs.persist()
+    entries = written(entries, "entries")
+    grown, repairs, summary = V.preflight(written(surfaces(entries), "surfaces"), written(targets, "targets"))
+    grown, repairs, summary = written(grown, "grown"), written(repairs, "repairs"), written(summary, "summary")
     first, report = finalize(entries, grown, repairs, placeholder)
-    report = report.persist()
+    report = written(report, "report")
     dirty = report.filter("not is_clean").select("doc_id")
     mine = lambda df: df.join(dirty, "doc_id", "left_semi")
     left = V.survivors(surfaces(mine(first)), mine(grown))
-    left = left.filter(~F.col("target_id").startswith(V.EXTERNAL_URL)).persist()
-    again, more, fixed = V.repair_plan(mine(grown), left, check=False)
+    left = written(left.filter(~F.col("target_id").startswith(V.EXTERNAL_URL)), "survivors")
+    again, more, fixed = (written(x, "repair") for x in V.repair_plan(mine(grown), left, check=False))
     second, report2 = finalize(mine(entries), again, more, placeholder)
     out = first.join(dirty, "doc_id", "left_anti").unionByName(second)
     both = report.join(dirty, "doc_id", "left_anti").withColumn("repaired", F.lit(False)).unionByName(report2.withColumn("repaired", F.lit(True)))
