@@ -8,6 +8,7 @@ round's task, and nothing is collected but row counts and checksums.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,23 @@ def connected_components(links: DataFrame) -> DataFrame:
         before = after
     pairs = edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return pairs.unionByName(edges.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links (x, y) of one task, few that connect the same nodes: a node and its group's smallest."""
+    nodes, at = np.unique(np.r_[x, y], return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
