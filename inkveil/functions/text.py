@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, also where body names it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize(text: Column | str) -> Column:
     """Text for matching: quotes, hyphens and full-width forms to ASCII, zero-width characters out."""
     return F.translate(col(text), TRANSLATE_FROM, TRANSLATE_TO)

@@ -28,9 +28,10 @@ def _array(items: list[Column], kind: str) -> Column:
 
 def located(norm: Column, pattern: str) -> Column:
     """array<struct<m, at>>: matches with their places, from pieces and matches in turn."""
-    pieces, found = F.split(norm, pattern, -1), F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
     size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    return F.transform(found, lambda m, i: F.struct(m.alias("m"), (size(pieces, i + 1) + size(found, i)).alias("at")))
+    both = F.struct(F.split(norm, pattern, -1).alias("pieces"), F.regexp_extract_all(norm, F.lit(pattern), F.lit(0)).alias("found"))
+    place = lambda v, i: size(v["pieces"], i + 1) + size(v["found"], i)
+    return T.let(both, lambda v: F.transform(v["found"], lambda m, i: F.struct(m.alias("m"), place(v, i).alias("at"))))
 
 
 def matches(text: Column, norm: Column, offsets: Column, pattern: str, group: int = 0, inner: int = 0) -> Column:
@@ -167,8 +168,9 @@ class Context:
         self.text, self.norm, self.offsets, self.priors = text, norm, offsets, priors
         self.known = F.array_distinct(F.concat(F.transform(definitions, lambda d: d["label"]), F.transform(priors, lambda p: p["text"])))
 
-    def new(self, x: Column) -> Column:
-        return ~F.array_contains(self.known, x)
+    def unknown(self, found: Column, name: str, ok: Callable[[Column], Column]) -> Column:
+        """Of found structs those whose name is new and passes a test."""
+        return T.let(self.known, lambda known: F.filter(found, lambda x: ~F.array_contains(known, x[name]) & ok(x[name])))
 
 
 def _found(x: Column, norm: Column, rule: str, confidence: Column | float) -> Column:
@@ -178,22 +180,34 @@ def _found(x: Column, norm: Column, rule: str, confidence: Column | float) -> Co
 
 def capitalization_cluster(c: Context) -> Column:
     roles = lambda m: F.exists(F.split(F.lower(m), f"[{SPACE}]+"), lambda w: w.isin(*L.ROLES_EN))
-    ok = F.filter(matches(c.text, c.norm, c.offsets, CLUSTER), lambda x: c.new(x["norm_text"]) & ~roles(x["norm_text"]))
+    ok = c.unknown(matches(c.text, c.norm, c.offsets, CLUSTER), "norm_text", lambda m: ~roles(m))
     return F.transform(ok, lambda x: _found(x["text"], x["norm_text"], "capitalization-cluster", 0.7))
 
 
 def quoted_term(c: Context) -> Column:
     found = matches(c.text, c.norm, c.offsets, QUOTED, group=1, inner=1)
-    ok = F.filter(found, lambda x: c.new(x["norm_text"]) & ~T.is_role(x["norm_text"]))
+    ok = c.unknown(found, "norm_text", lambda m: ~T.is_role(m))
     return F.transform(ok, lambda x: _found(x["text"], x["norm_text"], "quoted-term", 0.6))
 
 
 def repeatability(c: Context) -> Column:
     tokens = F.concat(matches(c.text, c.norm, c.offsets, EN_TOKEN), matches(c.text, c.norm, c.offsets, KO_TOKEN))
-    names = F.transform(tokens, lambda x: x["norm_text"])
-    many = F.filter(F.array_distinct(names), lambda n: (F.size(F.filter(names, lambda m: m == n)) >= LEAST_REPEATS) & c.new(n) & ~T.is_role(n))
-    first = lambda n: F.element_at(tokens, F.array_position(names, n).cast("int"))["text"]
-    return F.transform(many, lambda n: _found(first(n), n, "repeatability", 0.5))
+
+    def frequent(tokens: Column) -> Column:
+        """The first token of each name that is there often enough, in order."""
+        placed = F.transform(tokens, lambda t, i: F.struct(t["norm_text"].alias("n"), i.alias("i"), t["text"].alias("t")))
+
+        def firsts(ranked: Column) -> Column:
+            # sorted, a name starts where another ends, and is frequent if it is there some places on
+            starts = lambda x, i: (i == 0) | (F.get(ranked, i - 1)["n"] != x["n"])
+            many = lambda x, i: F.coalesce(F.get(ranked, i + (LEAST_REPEATS - 1))["n"] == x["n"], F.lit(False))
+            kept = F.filter(ranked, lambda x, i: many(x, i) & F.coalesce(starts(x, i), F.lit(True)))
+            return F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["n"].alias("norm_text"), x["t"].alias("text"))))
+
+        return T.let(F.array_sort(placed), firsts)
+
+    ok = c.unknown(T.let(tokens, frequent), "norm_text", lambda n: ~T.is_role(n))
+    return F.transform(ok, lambda x: _found(x["text"], x["norm_text"], "repeatability", 0.5))
 
 
 def _domain_name(domain: Column) -> Column:
@@ -207,16 +221,20 @@ def _domain_name(domain: Column) -> Column:
 def email_domain_inference(c: Context) -> Column:
     mails = F.filter(c.priors, lambda p: p["rule_id"].startswith("identifiers.email") & p["text"].contains("@") & F.substring_index(p["text"], "@", -1).contains("."))
     named = F.transform(mails, lambda p: F.struct(_domain_name(F.substring(p["text"], F.locate("@", p["text"]) + 1, F.length(p["text"]))).alias("name"), F.lower(F.substring_index(p["text"], "@", 1)).alias("box")))
-    ok = F.filter(named, lambda x: (F.length(x["name"]) >= 2) & c.new(x["name"]) & ~F.lower(x["name"]).isin(*L.ROLES_EN))
-    names = F.transform(ok, lambda x: x["name"])
+    ok = c.unknown(named, "name", lambda n: (F.length(n) >= 2) & ~F.lower(n).isin(*L.ROLES_EN))
+
+    def once(ok: Column) -> Column:
+        names = F.transform(ok, lambda x: x["name"])
+
+        def make(n: Column) -> Column:
+            box = F.element_at(F.filter(ok, lambda x: x["name"] == n), 1)["box"]
+            at = F.position(n, c.norm) - 1
+            shown = F.when((at < 0) | (c.norm == c.text), n).otherwise(T.original_slice(c.text, c.offsets, at, at + F.length(n)))
+            return _found(shown, n, "email-domain-inference", F.when(box.isin(*L.OFFICE_MAILBOXES), 0.8).otherwise(0.6))
 
-    def make(n: Column) -> Column:
-        box = F.element_at(ok, F.array_position(names, n).cast("int"))["box"]
-        at = F.position(n, c.norm) - 1
-        shown = F.when((at < 0) | (c.norm == c.text), n).otherwise(T.original_slice(c.text, c.offsets, at, at + F.length(n)))
-        return _found(shown, n, "email-domain-inference", F.when(box.isin(*L.OFFICE_MAILBOXES), 0.8).otherwise(0.6))
+        return F.transform(F.array_distinct(names), make)
 
-    return F.transform(F.array_distinct(names), make)
+    return T.let(ok, once)
 
 
 #: (id, languages, levels, function), in the order in which they run; none sees another's findings.
@@ -293,5 +311,5 @@ def suggest_keywords(text: Column, least: int = 5, least_quoted: int = 3, exclud
     ruled = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (TITLE_WORDS, PREFIXED, VERSIONED))))
     often = F.filter(ruled, lambda k: keep(k) & (T.count_occurrences(text, k) >= least))
     quoted = F.regexp_extract_all(text, F.lit(SUGGEST_QUOTED), F.lit(1))
-    said = F.filter(F.array_distinct(quoted), lambda k: keep(k) & (F.size(F.filter(quoted, lambda q: q == k)) >= least_quoted))
+    said = T.let(quoted, lambda quoted: F.filter(F.array_distinct(quoted), lambda k: keep(k) & (F.size(F.filter(quoted, lambda q: q == k)) >= least_quoted)))
     return F.array_distinct(F.concat(often, said))

@@ -29,15 +29,16 @@ def definition_clauses(text: Column) -> Column:
 
 def substring_variants(seed: Column, text: Column) -> Column:
     """Prefixes that stand alone, then the first word with company endings."""
-    tokens = F.filter(F.split(seed, f"[{SPACE}]+"), lambda t: t != "")
-    n = F.size(tokens)
-    joined = lambda k: F.array_join(F.slice(tokens, F.lit(1), k), " ")
-    alone = lambda k: T.count_bounded(text, joined(k)) > T.count_bounded(text, joined(k + 1))
-    lengths = F.filter(F.sequence(n - 1, F.lit(1), F.lit(-1)), lambda k: (joined(k) != seed) & alone(k))
-    shorter = F.transform(lengths, joined)
-    endings = F.transform(F.array(*map(F.lit, L.COMPANY_ENDINGS)), lambda e: F.concat(tokens[0], F.lit(" "), e))
-    named = F.filter(endings, lambda c: (c != seed) & (T.count_bounded(text, c) > 0))
-    return F.when(n >= 2, F.array_distinct(F.concat(shorter, named))).otherwise(F.array().cast("array<string>"))
+    def of(tokens: Column) -> Column:
+        n = F.size(tokens)
+        joined = lambda k: F.array_join(F.slice(tokens, F.lit(1), k), " ")
+        alone = lambda k: T.count_bounded(text, joined(k)) > T.count_bounded(text, joined(k + 1))
+        lengths = F.filter(F.sequence(n - 1, F.lit(1), F.lit(-1)), lambda k: (joined(k) != seed) & alone(k))
+        endings = F.transform(F.array(*map(F.lit, L.COMPANY_ENDINGS)), lambda e: F.concat(tokens[0], F.lit(" "), e))
+        named = F.filter(endings, lambda c: (c != seed) & (T.count_bounded(text, c) > 0))
+        return F.when(n >= 2, F.array_distinct(F.concat(F.transform(lengths, joined), named))).otherwise(F.array().cast("array<string>"))
+
+    return T.let(F.filter(F.split(seed, f"[{SPACE}]+"), lambda t: t != ""), of)
 
 
 def propagate(seed: Column, text: Column, clauses: Column) -> Column:
