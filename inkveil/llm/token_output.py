@@ -16,26 +16,33 @@ from __future__ import annotations
 import functools
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm.bpe import WordCache
+from inkveil.llm.bpe import BLANKS, LETTERS, NUMBERS, WordCache, not_latin
 from inkveil.llm.common import fresh_path, open_fs
 from inkveil.llm.sstable import Reader, Writer, id_key, key_id
 
-#: Blanks at which this vocabulary's texts may be cut: its words never span them.
-PIECES = re.compile(r"[^ \t\n\r]+").findall
+#: Words of this vocabulary's texts in lower case (fixed values of the public format).
+SPLIT = r"\p{L}+|\p{N}|'s|'t|'re|'ve|'m|'ll|'d|[^\s\p{L}\p{N}]+"
+LATIN_SPLIT = rf"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{BLANKS}{LETTERS}{NUMBERS}]+"
 
 
 class WordTokenizer:
-    """The library's tokenizer, asked once for each distinct piece between blanks."""
+    """The library's tokenizer, asked once for each distinct word.
+
+    A text that is normalised already and lower-cases letter by letter is cut into
+    words here; any other goes to the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,35 +52,29 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.cache = WordCache(self._learn)
-
-    def _library(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self.cache = WordCache(self._library)
+        self.any_words, self.latin_words = regex.compile(SPLIT).findall, re.compile(LATIN_SPLIT).findall
+        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # sigma has two small forms, and a dotted I becomes two characters
+        self.special = re.compile("|".join([*marks, "[\u03a3\u0130]"])).search
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        # lower case and a final stop or comma are the commonest variants of a word
-        parts = []
-        for w in words:
-            if w.isascii():
-                core = w.lower()
-                if core[-1] in ".," and core[:-1].isalpha():
-                    parts.append((core[:-1], core[-1]))
-                elif core.isalpha():
-                    parts.append((core, ""))
-                else:
-                    parts.append((w, ""))
-            else:
-                parts.append((w, ""))
-        ask = list({x for p in parts for x in p if x})
-        ids = dict(zip(ask, self._library(ask)))
-        ids[""] = b""
-        return [ids[a] + ids[b] for a, b in parts]
-
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        pieces = list(map(PIECES, texts))
-        get = self.cache.need(set().union(*pieces)).__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        out: list[bytes] = [b""] * len(texts)
+        cut: list[tuple[int, list[str]]] = []
+        for k, text in enumerate(texts):
+            if self.special(text) or not unicodedata.is_normalized("NFC", text):
+                out[k] = self._library([text])[0]
+            else:
+                low = text.lower()
+                cut.append((k, self.any_words(low) if not_latin(low) else self.latin_words(low)))
+        get = self.cache.need(set().union(*(w for _, w in cut))).__getitem__
+        for k, words in cut:
+            out[k] = b"".join(map(get, words))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
