@@ -174,7 +174,7 @@ def detect_legacy(spark, sf_dir):
 
 @query("detect_all")
 def detect_all(spark, sf_dir):
-    return D.detect_all(noisy(spark, sf_dir), "doc_id", level="paranoid")
+    return D.detect_all(noisy(spark, sf_dir), "doc_id")
 
 
 # -- structure and heuristics ------------------------------------------------------------------
