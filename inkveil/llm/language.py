@@ -17,6 +17,7 @@ to the first language in alphabetical order.  Empty tables give no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -35,13 +36,31 @@ UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+class _Numbers(dict):
+    """Feature numbers of strings of one kind, worked out once."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def __missing__(self, key: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[key] = found = zlib.crc32((self.kind + key).encode("utf-8", "surrogatepass")) % FEATURES
+        return found
+
+
+_prefix, _suffix, _gram = map(_Numbers, "psg")
+
+
 def word_features(word: str, lexicon: set[str]) -> list[int]:
     marked = f"<{word}>"
-    names = {f"p{word[:n]}" for n in (1, 2, 3)} | {f"s{word[-n:]}" for n in (1, 2, 3)}
-    names |= {f"g{marked[k : k + n]}" for n in (2, 3) for k in range(len(marked) - n + 1)}
+    n = len(marked)
+    found = {_prefix[word[:1]], _prefix[word[:2]], _prefix[word[:3]], _suffix[word[-1:]], _suffix[word[-2:]], _suffix[word[-3:]]}
+    found.update([_gram[marked[k : k + 2]] for k in range(n - 1)])
+    found.update([_gram[marked[k : k + 3]] for k in range(n - 2)])
     if word in lexicon:
-        names.add(f"w{word}")
-    return sorted({zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names})
+        found.add(zlib.crc32(f"w{word}".encode("utf-8", "surrogatepass")) % FEATURES)
+    return sorted(found)
 
 
 def forward_backward(e: np.ndarray, length: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,15 +135,19 @@ class ChainModel:
         self._clear()
 
     def _numbers(self, words: list[str]) -> np.ndarray:
-        new = set(words) - self.number.keys()
+        new = sorted(set(words) - self.number.keys())
         if len(self.number) + len(new) > CACHE and self.number:
             self._clear()
-            new = set(words)
-        for w in new:
-            k = self.number[w] = len(self.number)
-            if k >= len(self.scores):
+            new = sorted(set(words))
+        if new:
+            at = len(self.number)
+            self.number.update(zip(new, range(at, at + len(new))))
+            features = [word_features(w, self.lexicon) for w in new]
+            sizes = np.fromiter(map(len, features), np.int64, len(features))
+            flat = np.fromiter(itertools.chain.from_iterable(features), np.int64, int(sizes.sum()))
+            while at + len(new) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-            self.scores[k] = self.weights[word_features(w, self.lexicon)].sum(0)
+            self.scores[at : at + len(new)] = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes)
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
