@@ -48,9 +48,11 @@ WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM  # bytes before an anchor that its windows reach
 #: Members of a group of suffixes that one task sorts; larger ones are split.
 HOT = 1000
+#: Contexts that a task sorts together: whole groups.
+POOL_ROWS = 10_000
 BATCH_BYTES = 1 << 18
 #: Documents of a chunk file at most.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 5_000
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -491,17 +493,20 @@ def _compared(corpus: Corpus, members: DataFrame) -> DataFrame:
     pool = corpus.over_chunks([notes], fetch, "chunk int, place long, low int, high int, core long, tail long, left int, context binary")
 
     def solve(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[pd.DataFrame] = []
         for pdf in it:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            held.append(pdf)
+            if sum(map(len, held)) < POOL_ROWS:
+                continue
+            pdf, held = pd.concat(held, ignore_index=True), []
             core, tail = pdf["core"].to_numpy(), pdf["tail"].to_numpy()
             cut = np.flatnonzero((core[1:] != core[:-1]) | (tail[1:] != tail[:-1]))
             cut = int(cut[-1]) + 1 if len(cut) else 0
-            rest = pdf.iloc[cut:]
+            held.append(pdf.iloc[cut:])
             if cut:
                 yield _solve(pdf.iloc[:cut], bits)
-        if rest is not None and len(rest):
-            yield _solve(rest, bits)
+        if sum(map(len, held)):
+            yield _solve(pd.concat(held, ignore_index=True), bits)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     solved = pool.repartition(parts, "core", "tail").sortWithinPartitions("core", "tail", "place").mapInPandas(solve, "chunk int, number long, start long, end long")
