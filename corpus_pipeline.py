@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkveil.llm import language, minhash_dedup, packing, quality, suffix_dedup
-from inkveil.llm.common import documents, id_fold, materialize
+from inkveil.llm.common import documents, id_fold, materialize, small_batches
 from inkveil.llm.queries import labels, vocabulary
 
 #: Least share of a document's words that its language must have.
@@ -21,6 +21,7 @@ LANGUAGE_SHARE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those in which no language holds half the words."""
+    small_batches(spark)
     model = language.fit_on_documents(docs, id_fold(F.col("doc_id"), 5) != 0)
     said = language.predict(F.col("text"), model)
     return docs.filter(said["score"] >= LANGUAGE_SHARE)
@@ -28,6 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score is under ``quality.KEEP``."""
+    small_batches(spark)
     model = quality.fit_on_labels(docs, labels(spark, sf_dir), id_fold(F.col("doc_id"), 4) != 2)
     return docs.filter(quality.score(F.col("text"), model) >= quality.KEEP)
 
@@ -38,6 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null identifier are in no group and all stay.  Of rows that repeat
     an identifier the one whose text has the smallest hash stays.
     """
+    small_batches(spark)
     kept = minhash_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.join(kept, docs["doc_id"] == kept["__id"])
     once = Window.partitionBy("__id").orderBy(F.xxhash64("text"), F.col("text"))
@@ -47,6 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated byte strings out of the texts; a text that loses all goes."""
+    small_batches(spark)
     out = suffix_dedup.without_repeats(docs)
     if "n_chars" in out.columns:
         kind = out.schema["n_chars"].dataType
@@ -56,6 +60,7 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
