@@ -212,7 +212,7 @@ def sha256_hex(data: Column, first: int | None = None, upper: bool = False) -> C
     return F.upper(out) if upper else out
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return functools.reduce(operator.or_, conditions, F.lit(False))
+def all_of(conditions: list[Column]) -> Column:
+    return functools.reduce(operator.and_, conditions, F.lit(True))
 
 

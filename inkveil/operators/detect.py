@@ -26,10 +26,10 @@ def _array(items: list[Column], kind: str) -> Column:
     return F.concat(*items) if items else F.array().cast(f"array<{kind}>")
 
 
-def located(norm: Column, pattern: str) -> Column:
+def located(norm: Column, pattern: str | Column) -> Column:
     """array<struct<m, at>>: matches with their places, from pieces and matches in turn."""
     size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    both = F.struct(F.split(norm, pattern, -1).alias("pieces"), F.regexp_extract_all(norm, F.lit(pattern), F.lit(0)).alias("found"))
+    both = F.struct(F.split(norm, pattern, -1).alias("pieces"), F.regexp_extract_all(norm, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)).alias("found"))
     place = lambda v, i: size(v["pieces"], i + 1) + size(v["found"], i)
     return T.let(both, lambda v: F.transform(v["found"], lambda m, i: F.struct(m.alias("m"), place(v, i).alias("at"))))
 
@@ -49,20 +49,43 @@ def matches(text: Column, norm: Column, offsets: Column, pattern: str, group: in
     return F.when(norm == text, plain).otherwise(F.transform(located(norm, pattern), recover))
 
 
-def rule_findings(rule: Rule, text: Column, norm: Column, offsets: Column, language: Column | None) -> Column:
-    found = matches(text, norm, offsets, rule.pattern)
-    if rule.check is not None:
-        found = F.filter(found, lambda x: rule.check(x["norm_text"]))
-    found = F.transform(found, lambda x: F.struct(x["text"].alias("text"), F.lit(rule.id).alias("rule_id"), F.lit(1.0).alias("confidence"), x["norm_text"].alias("norm_text")))
+def _applies(rule: Rule, norm: Column, language: Column | None) -> Column:
     when = F.lit(True) if language is None else speaks(rule.languages, language)
-    if rule.hint:
-        when = when & norm.contains(rule.hint)
-    return F.when(when, found).otherwise(F.array().cast(f"array<{FINDING}>"))
+    return when & norm.contains(rule.hint) if rule.hint else when
+
+
+def _plain(rule: Rule, norm: Column, language: Column | None) -> Column:
+    """Findings where normalisation changed nothing: the pattern is a constant of the plan."""
+    found = F.regexp_extract_all(norm, F.lit(rule.pattern), F.lit(0))
+    if rule.check is not None:
+        found = F.filter(found, rule.check)
+    found = F.transform(found, lambda m: F.struct(m.alias("text"), F.lit(rule.id).alias("rule_id"), F.lit(1.0).alias("confidence"), m.alias("norm_text")))
+    return F.when(_applies(rule, norm, language), found).otherwise(F.array().cast(f"array<{FINDING}>"))
+
+
+def _recovered(rules: Sequence[Rule], text: Column, norm: Column, offsets: Column, language: Column | None) -> Column:
+    """Findings with their original characters: one expression over a table of rules."""
+    table = F.array(*(F.struct(F.lit(r.id).alias("id"), F.lit(r.pattern).alias("pattern"), _applies(r, norm, language).alias("on")) for r in rules))
+
+    def of(r: Column) -> Column:
+        original = lambda x: T.original_slice(text, offsets, x["at"], x["at"] + F.length(x["m"]))
+        return F.transform(located(norm, r["pattern"]), lambda x: F.struct(original(x).alias("text"), r["id"].alias("rule_id"), F.lit(1.0).alias("confidence"), x["m"].alias("norm_text")))
+
+    found = F.flatten(F.transform(F.filter(table, lambda r: r["on"]), of))
+    passes = lambda x: T.all_of([(x["rule_id"] != r.id) | r.check(x["norm_text"]) for r in rules if r.check is not None])
+    return F.filter(found, passes)
+
+
+def findings_of(rules: Sequence[Rule], text: Column, norm: Column, offsets: Column, language: Column | None) -> Column:
+    """array of findings of the rules, in rule order."""
+    if not rules:
+        return F.array().cast(f"array<{FINDING}>")
+    return F.when(norm == text, F.concat(*(_plain(r, norm, language) for r in rules))).otherwise(_recovered(rules, text, norm, offsets, language))
 
 
 def regex_phase(text: Column, norm: Column, offsets: Column, language: Column | None, level: str = STANDARD, rules: Sequence[Rule] = RULES) -> Column:
     """array of findings of all rules of a level, in rule order."""
-    return _array([rule_findings(r, text, norm, offsets, language) for _, r in at_level(rules, level)], FINDING)
+    return findings_of([r for _, r in at_level(rules, level)], text, norm, offsets, language)
 
 
 # -- structural definitions -------------------------------------------------------------
@@ -291,7 +314,7 @@ def detect_legacy(df: DataFrame, *keys: str, text_col: str = "text") -> DataFram
     """The eight identifier kinds of all texts, kind by kind: keys, ord, kind, original, normalized."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.withColumn("norm", T.normalize(text)).withColumn("offsets", F.when(F.col("norm") != text, T.original_offsets(text)))
-    found = _array([rule_findings(BY_ID[f"identifiers.{s}"], text, F.col("norm"), F.col("offsets"), None) for s in LEGACY], FINDING)
+    found = findings_of([BY_ID[f"identifiers.{s}"] for s in LEGACY], text, F.col("norm"), F.col("offsets"), None)
     rows = df.select(*keys, F.posexplode(found).alias("ord", "c"))
     kind = F.create_map(*[x for s in LEGACY for x in (F.lit(f"identifiers.{s}"), F.lit(L.KIND_OF[s]))])
     return rows.select(*keys, "ord", F.element_at(kind, F.col("c.rule_id")).alias("kind"), F.col("c.text").alias("original"), F.col("c.norm_text").alias("normalized"))
