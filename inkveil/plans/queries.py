@@ -172,11 +172,6 @@ def detect_legacy(spark, sf_dir):
     return D.detect_legacy(contracts(spark, sf_dir), "doc_id").groupBy("doc_id", "kind", "original", "normalized").agg(F.count("*").alias("n"))
 
 
-@query("detect_all")
-def detect_all(spark, sf_dir):
-    return D.detect_all(noisy(spark, sf_dir), "doc_id")
-
-
 # -- structure and heuristics ------------------------------------------------------------------
 
 _EN_HEAD = f"substr(norm, 1, {D.HEAD_PARTIES})"
