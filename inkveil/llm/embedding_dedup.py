@@ -5,7 +5,8 @@ bounded sample; their product is a grid of cells.  Every vector is filed under i
 home cell and visits cells in ascending distance by multi-sequence traversal,
 until its distance passes that of the nearest cell by a margin.  The margin is
 measured: a bounded set of queries is held against all rows by brute force, and
-the margin is what the target recall of the pairs found there needs.  Cells are
+the margin is what the target recall needs of the pairs of every one of them, and
+of pairs made at the threshold around sampled rows.  Cells are
 compared as tiles of base rows and visitors, so a cell of any size is spread over
 tasks; a tile returns counts and a spanning forest of its links, not pairs.
 
@@ -82,6 +83,10 @@ class MultiIndex:
         i, j = np.divmod(cells, len(self.second))
         return (a - a.min(1, keepdims=True))[:, i] + (b - b.min(1, keepdims=True))[:, j]
 
+    def apart(self, q: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The margin at which one of two rows visits the other's home; that finds their link."""
+        return np.minimum(self.excess(q, self.home(u)), self.excess(u, self.home(q)).T)
+
     def visits(self, x: np.ndarray) -> list[list[int]]:
         """Cells of each row in ascending distance, up to the margin (multi-sequence)."""
         a, b = self.halves(x)
@@ -102,6 +107,10 @@ class MultiIndex:
         return out
 
 
+def _bins(excess: np.ndarray) -> np.ndarray:
+    return np.minimum(excess / SPAN * BINS, BINS - 1).astype(int)
+
+
 def _sample(classes: DataFrame, n: int, most: int, salt: int) -> pd.DataFrame:
     part = min(1.0, most / max(1, n))
     picked = classes.filter(F.pmod(F.xxhash64("rep", "vh", F.lit(salt)), F.lit(1 << 30)) < int(part * (1 << 30)))
@@ -117,40 +126,46 @@ def build_index(classes: DataFrame, n: int, labels: int, width: int, threshold:
     words = int(np.clip(round((n / max(1, labels) / CELL_ROWS) ** 0.5), 1, MAX_WORDS))
     index = MultiIndex(fit_codebook(x[:, :half], words), fit_codebook(x[:, half:], words))
     queries = _sample(same, n, QUERIES, 2)
-    by_label = {k: _unit(g["v"].tolist()) for k, g in queries.groupby("label")}
+    by_label, first = {}, 0
+    for k, g in queries.groupby("label"):
+        by_label[k] = (first, _unit(g["v"].tolist()))
+        first += len(g)
     sent = classes.sparkSession.sparkContext.broadcast((index, by_label))
 
     def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, by_label = sent.value
-        histogram = np.zeros(BINS, np.int64)
+        histogram = np.zeros((sum(len(q) for _, q in by_label.values()), BINS), np.int64)
         for pdf in it:
             for label, g in pdf.groupby("label"):
-                q = by_label.get(label)
+                first, q = by_label.get(label, (0, None))
                 if q is not None:
                     for k in range(0, len(g), 4096):
                         u = _unit(g["v"].iloc[k : k + 4096].tolist())
                         linked = (q @ u.T >= threshold) & (q @ u.T < 1 - 1e-12)
                         if linked.any():
-                            e = index.excess(q, index.home(u))[linked]
-                            histogram += np.bincount(np.minimum(e / SPAN * BINS, BINS - 1).astype(int), minlength=BINS)
-        yield pd.DataFrame({"bin": np.arange(BINS), "n": histogram})
-
-    rows = same.select("label", "v").mapInPandas(measure, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    seen = np.zeros(BINS)
-    for r in rows:
-        seen[r["bin"]] = r["n"]
-    if seen.sum() < 200 and len(x):
-        # too few pairs to measure: pairs made at the threshold stand in for them
+                            i, j = np.nonzero(linked)
+                            np.add.at(histogram, (first + i, _bins(index.apart(q, u)[linked])), 1)
+        i, j = np.nonzero(histogram)
+        yield pd.DataFrame({"query": i, "bin": j, "n": histogram[i, j]})
+
+    found = same.select("label", "v").mapInPandas(measure, "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+    # every query by itself, so that the many links of one group do not stand for those of others
+    each = found.groupBy("query").agg(F.percentile("bin", TARGET, F.col("n")).alias("bin"))
+    reach = each.agg(F.max("bin")).first()[0] or 0
+    if len(x):
+        # groups that no query is of: pairs made at the threshold, every home cell by the same weight
         rng = np.random.default_rng(5)
         w = rng.standard_normal(x.shape)
         w -= (w * x).sum(1, keepdims=True) * x
         w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-        c = rng.uniform(threshold, 1, len(x))[:, None]
-        u = c * x + np.sqrt(1 - c * c) * w
+        u = threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * w
+        home, seen = index.home(x), np.zeros(BINS)
+        weight = 1 / np.bincount(home)[home]
         for k in range(0, len(x), 1024):
-            e = np.diagonal(index.excess(x[k : k + 1024], index.home(u[k : k + 1024])))
-            seen += np.bincount(np.minimum(e / SPAN * BINS, BINS - 1).astype(int), minlength=BINS)
-    reach = np.searchsorted(np.cumsum(seen), TARGET * seen.sum()) + 1 if seen.sum() else 1
+            e = np.diagonal(index.apart(x[k : k + 1024], u[k : k + 1024]))
+            seen += np.bincount(_bins(e), weight[k : k + 1024], BINS)
+        reach = max(reach, np.searchsorted(np.cumsum(seen), TARGET * seen.sum()))
+    reach = np.ceil(reach) + 1
     index.margin = float(reach * SPAN / BINS * (1 + SLACK))
     sent.destroy()
     return index
@@ -222,7 +237,8 @@ def _links(classes: DataFrame, index: MultiIndex, threshold: float) -> DataFrame
     ways = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     side = lambda c, salt: F.pmod(F.xxhash64("rep", "vh", F.lit(salt)), ways(c)).cast("int")
     keep = ["label", "cell", "rep", "vh", "cnt", "v", "visits", "home"]
-    guests = rows.select(*keep, F.lit(False).alias("base"), side("nv", 3).alias("vt"), F.explode(F.sequence(F.lit(0), ways("nb") - 1)).alias("bt"))
+    # a tile reads the visits of hosts only
+    guests = rows.withColumn("visits", F.lit(None).cast("array<int>")).select(*keep, F.lit(False).alias("base"), side("nv", 3).alias("vt"), F.explode(F.sequence(F.lit(0), ways("nb") - 1)).alias("bt"))
     hosts = rows.filter("cell = home").select(*keep, F.lit(True).alias("base"), side("nb", 4).alias("bt"), F.explode(F.sequence(F.lit(0), ways("nv") - 1)).alias("vt"))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:

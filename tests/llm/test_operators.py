@@ -226,6 +226,23 @@ def test_embeddings_equal_brute_force(spark):
     assert all(got[r[0]]["n_links"] <= n for r, n in zip(rows, link.sum(1)))
 
 
+def test_embeddings_beside_a_hot_group(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+
+    def near(b, cosine):
+        w = rng.standard_normal(b.shape)
+        w = unit(w - (w * b).sum(1, keepdims=True) * b)
+        return cosine * b + np.sqrt(1 - cosine**2) * w
+
+    a = unit(rng.standard_normal((1000, 64)))
+    pairs = np.vstack([a, near(a, rng.uniform(0.932, 0.95, (1000, 1)))])
+    x = np.vstack([pairs, near(np.repeat(unit(rng.standard_normal((1, 64))), 1000, 0), 0.99)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(got[i] >= 1 for i in range(2000)) >= 0.999 * 2000
+
+
 def test_top_k_on_odd_rows(spark):
     df = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int")
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, k=3).collect()
