@@ -297,12 +297,13 @@ def analyze_text(df: DataFrame, level: str = STANDARD, language: str | None = No
 
 def candidates(analyzed: DataFrame, *keys: str) -> DataFrame:
     """One row a finding: keys, language, ord, text, rule_id, confidence."""
-    rows = analyzed.select(*keys, "language", F.posexplode("candidates").alias("ord", "c"))
+    # outer, since else a filter on the size is pushed down and repeats the whole detection in the plan
+    rows = analyzed.select(*keys, "language", F.posexplode_outer("candidates").alias("ord", "c")).filter("ord is not null")
     return rows.select(*keys, "language", "ord", "c.text", "c.rule_id", "c.confidence")
 
 
 def definitions(analyzed: DataFrame, *keys: str) -> DataFrame:
-    rows = analyzed.select(*keys, F.posexplode("definitions").alias("ord", "d"))
+    rows = analyzed.select(*keys, F.posexplode_outer("definitions").alias("ord", "d")).filter("ord is not null")
     return rows.select(*keys, "ord", "d.label", "d.referent", "d.source")
 
 

@@ -247,13 +247,27 @@ def suggest_keywords(spark, sf_dir):
 _FOLD_RULES = [BY_ID[f"identifiers.{x}"] for x in ("phone-intl", "email", "credit-card")] + [BY_ID[f"financial.{x}"] for x in ("won-formal", "usd-symbol", "usd-code", "percentage")] + [BY_ID["temporal.date-iso"]]
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of some rules in turns, which are the scopes of conversations."""
+_SCOPE = ("doc_id", "scope_ord", "scope_kind", "scope_path")
+
+
+def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns, which are the scopes of conversations, and contracts."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("scope_ord"), F.col("role").alias("scope_kind"), F.concat(F.lit("turn/"), F.col("turn").cast("string")).alias("scope_path"), "text")
     more = contracts(spark, sf_dir).select("doc_id", (F.lit(1000) + F.col("doc_id") % 2).alias("scope_ord"), F.col("lang").alias("scope_kind"), F.lit("contract").alias("scope_path"), "text")
-    found = D.analyze_text(rows.unionByName(more), "paranoid", rules=_FOLD_RULES, parsers=(), heuristics=())
+    return rows.unionByName(more)
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of some rules, those that the SQL of the folds has."""
+    found = D.analyze_text(scoped(spark, sf_dir), "paranoid", rules=_FOLD_RULES, parsers=(), heuristics=())
     # several folds read these; detection runs once
-    return D.candidates(found, "doc_id", "scope_ord", "scope_kind", "scope_path").persist()
+    return D.candidates(found, *_SCOPE).persist()
+
+
+def whole_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Findings of all rules and heuristics, and definitions of all parsers, in the same rows."""
+    found = D.analyze_text(scoped(spark, sf_dir), "paranoid").select(*_SCOPE, "language", "candidates", "definitions").persist()
+    return D.candidates(found, *_SCOPE), D.definitions(found, *_SCOPE)
 
 
 _SCOPED = f"SELECT conv_id * 10000 + turn AS doc_id, text FROM conversations UNION ALL SELECT -1 - doc_id, text FROM ({CONTRACTS}) k"
@@ -307,9 +321,50 @@ def all_targets(spark, sf_dir):
     return G.all_targets(findings(spark, sf_dir), none)
 
 
+def whole_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, defined = whole_findings(spark, sf_dir)
+    return G.selection_targets(G.occurrences(G.fold_identifiers(found), G.fold_others(found, defined))).persist()
+
+
+@query("all_targets_whole")
+def all_targets_whole(spark, sf_dir):
+    return G.all_targets(*whole_findings(spark, sf_dir))
+
+
+@query("fold_identifiers_whole")
+def fold_identifiers_whole(spark, sf_dir):
+    return G.fold_identifiers(whole_findings(spark, sf_dir)[0]).select("doc_id", "text", "kind", "count", F.size("scopes").cast("long").alias("scopes"))
+
+
+@query("fold_others_whole")
+def fold_others_whole(spark, sf_dir):
+    return G.fold_others(*whole_findings(spark, sf_dir)).select("doc_id", "text", "rule_id", "category", "count")
+
+
+@query("selection_targets_whole")
+def selection_targets_whole(spark, sf_dir):
+    return whole_targets(spark, sf_dir).select("doc_id", "text", "id", F.col("count").alias("occurrences"), "review_section", "default_selected")
+
+
+@query("selection_panel_whole")
+def selection_panel_whole(spark, sf_dir):
+    return G.panel(whole_targets(spark, sf_dir)).select("doc_id", "review_section", "targets", "selected")
+
+
+@query("selection_collisions_whole")
+def selection_collisions_whole(spark, sf_dir):
+    return G.id_collisions(whole_targets(spark, sf_dir))
+
+
+@query("selection_resolved_whole")
+def selection_resolved_whole(spark, sf_dir):
+    t = whole_targets(spark, sf_dir)
+    return G.resolve(t, G.default_selections(t), check=False).select("doc_id", "id", "display_text", "redaction_literals")
+
+
 @query("manual_targets")
 def manual_targets(spark, sf_dir):
-    found = targets(spark, sf_dir)
+    found = whole_targets(spark, sf_dir)
     corpus = noisy(spark, sf_dir)
     return G.add_manual(found, corpus.select("doc_id", "text"), corpus.select("doc_id", F.lit("Main Street").alias("text")))
 

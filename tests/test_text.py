@@ -116,3 +116,12 @@ def test_policy(spark):
     bad = ["{", "[]", good.replace('"schemaVersion": 1', '"schemaVersion": 2'), good.replace("legal", "other2")]
     assert values(spark, policy.error(F.col("t")), [good, *bad]) == [None, "Policy file is not valid JSON.", "Policy file must be a JSON object.", "Unsupported policy schema version.", "Unsupported policy category."]
     assert values(spark, policy.entries(F.col("t")), [good])[0][0]["text"] == "a"
+
+
+def test_targets_of_the_whole_detection(spark):
+    from inkveil.plans.queries import QUERIES
+
+    texts = {r["text"] for r in QUERIES["manual_targets"](spark, "/root/testdata/sf0.001").filter("doc_id in (2, 3)").collect()}
+    assert {"Gamma Works", "01-0000013", "000001-2234567", "김철수", "Main Street"} <= texts
+    listed = {r["doc_id"]: r["targets"] for r in QUERIES["all_targets_whole"](spark, "/root/testdata/sf0.001").filter("doc_id in (2, 3)").collect()}
+    assert "Gamma Works" in listed[2] and [len(t) for t in listed[2]] == sorted(map(len, listed[2]), reverse=True)
