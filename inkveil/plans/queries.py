@@ -147,9 +147,14 @@ def _found(rules, corpus: str) -> str:
     return f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r, place) - 1 AS ord, text, rule_id FROM ({' UNION ALL '.join(parts)}) u"
 
 
-def _corpus_query(load: Query) -> Query:
+def _detected(df: DataFrame, whole: bool = False) -> DataFrame:
+    """Detection by what the SQL has, the universal rules; or by all rules, parsers and heuristics."""
+    return D.analyze_text(df, "paranoid") if whole else D.analyze_text(df, "paranoid", rules=_UNIVERSAL, parsers=(), heuristics=())
+
+
+def _corpus_query(load: Query, whole: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = D.analyze_text(load(spark, sf_dir), "paranoid", rules=_UNIVERSAL, parsers=(), heuristics=())
+        found = _detected(load(spark, sf_dir), whole)
         return D.candidates(found, "doc_id").groupBy("doc_id", "rule_id", "text").agg(F.count("*").alias("n"))
 
     return run
@@ -165,6 +170,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _name, _load, _sql in (("documents", documents, DOCUMENTS), ("pages", pages, PAGES), ("conversations", turns, TURNS)):
     query(f"detect_{_name}", f"SELECT doc_id, rule_id, text, count(*) AS n FROM ({_found(_UNIVERSAL, _sql)}) f GROUP BY doc_id, rule_id, text")(_corpus_query(_load))
+    query(f"detect_{_name}_whole")(_corpus_query(_load, whole=True))
 
 
 @query("detect_legacy", "SELECT doc_id, kind, original, normalized, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{L.KIND_OF[s]}' AS kind, text AS original, norm_text AS normalized FROM ({O.rule_matches(BY_ID['identifiers.' + s], CONTRACTS, True)}) m" for s in LEGACY) + ") u GROUP BY ALL")
@@ -412,10 +418,11 @@ _LITERALS = f"SELECT doc_id, list(DISTINCT text) AS literals, string_agg(DISTINC
 _REDACTED = f"SELECT d.doc_id, d.text AS text_before, coalesce(literals, []) AS literals, coalesce(regexp_replace(d.text, pattern, '[REDACTED]', 'g'), d.text) AS redacted FROM documents d LEFT JOIN ({_LITERALS}) l USING (doc_id)"
 
 
-def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with what the universal rules find, and without it; one narrow stage."""
-    found = D.analyze_text(documents(spark, sf_dir), "paranoid", rules=_UNIVERSAL, parsers=(), heuristics=())
-    literals = F.array_distinct(F.transform("candidates", lambda c: c["text"]))
+def redacted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Documents with what the universal rules or the whole detection find, and without it; one narrow stage."""
+    found = _detected(documents(spark, sf_dir), whole)
+    texts, referents = F.transform("candidates", lambda c: c["text"]), F.transform("definitions", lambda d: d["referent"])
+    literals = F.filter(F.array_distinct(F.concat(texts, referents)), lambda t: t != "")
     return found.select("doc_id", "text", literals.alias("literals")).withColumn("redacted", R.redact_text(F.col("text"), F.col("literals")))
 
 
@@ -423,20 +430,30 @@ _PLACED = "((length({x}) - length(replace({x}, '[REDACTED]', ''))) / 10)::BIGINT
 
 
 @query("redact_documents", f"SELECT doc_id, sha256(redacted) AS redacted_sha256, {_PLACED.format(x='redacted')} AS placeholders, len(list_filter(literals, lambda t: contains(redacted, t)))::BIGINT AS survivors FROM ({_REDACTED}) r")
-def redact_documents(spark, sf_dir):
+def redact_documents(spark, sf_dir, whole=False):
     left = F.size(F.filter("literals", lambda t: F.col("redacted").contains(t))).cast("long")
     placed = T.count_occurrences(F.col("redacted"), F.lit(R.PLACEHOLDER)).cast("long")
-    return redacted(spark, sf_dir).select("doc_id", F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"), placed.alias("placeholders"), left.alias("survivors"))
+    return redacted(spark, sf_dir, whole).select("doc_id", F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"), placed.alias("placeholders"), left.alias("survivors"))
+
+
+@query("redact_documents_whole")
+def redact_documents_whole(spark, sf_dir):
+    return redact_documents(spark, sf_dir, whole=True)
 
 
 @query("word_count_sanity", f"""SELECT doc_id, before, after, CASE WHEN before = 0 OR after >= before THEN 0 ELSE floor((before - after) / before * 100 + 0.5)::INT END AS dropped, CASE WHEN before = 0 OR after >= before THEN true ELSE floor((before - after) / before * 100 + 0.5) <= 30 END AS sane
 FROM (SELECT doc_id, len(regexp_extract_all(text_before, '[^\\s\\x0B\\x{{A0}}\\x{{3000}}]+'))::BIGINT AS before, len(regexp_extract_all(redacted, '[^\\s\\x0B\\x{{A0}}\\x{{3000}}]+'))::BIGINT AS after FROM ({_REDACTED}) r) w""")
-def word_count_sanity(spark, sf_dir):
-    counts = redacted(spark, sf_dir).select("doc_id", T.count_words("text").cast("long").alias("before"), T.count_words("redacted").cast("long").alias("after"))
+def word_count_sanity(spark, sf_dir, whole=False):
+    counts = redacted(spark, sf_dir, whole).select("doc_id", T.count_words("text").cast("long").alias("before"), T.count_words("redacted").cast("long").alias("after"))
     lost = V.dropped_percent(F.col("before"), F.col("after"))
     return counts.select("*", lost.alias("dropped"), V.sane(F.col("before"), F.col("after")).alias("sane"))
 
 
+@query("word_count_sanity_whole")
+def word_count_sanity_whole(spark, sf_dir):
+    return word_count_sanity(spark, sf_dir, whole=True)
+
+
 def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts as a body, their first line as a field, and a link as a relationship."""
     rows = contracts(spark, sf_dir)
@@ -586,12 +603,15 @@ def docx_sha256(spark, sf_dir):
 
 
 @query("stream_detect", f"SELECT conv_id, turn, rule_id, text, count(*) AS n FROM (SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, rule_id, text FROM ({_found(_UNIVERSAL, TURNS)}) f) u GROUP BY ALL")
-def stream_detect(spark, sf_dir):
+def stream_detect(spark, sf_dir, whole=False):
     schema = table(spark, sf_dir, "conversations").schema
     stream = S.stream_table(spark, f"{sf_dir}/conversations.parque[t]", schema)
-    found = D.candidates(D.analyze_text(stream, "paranoid", rules=_UNIVERSAL, parsers=(), heuristics=()), "conv_id", "turn")
+    found = D.candidates(_detected(stream, whole), "conv_id", "turn")
     out = shared_path(spark, "stream-out")
     S.run_to(found, out, shared_path(spark, "stream-state"))
     return spark.read.schema(found.schema).parquet(out).groupBy("conv_id", "turn", "rule_id", "text").agg(F.count("*").alias("n"))
 
 
+@query("stream_detect_whole")
+def stream_detect_whole(spark, sf_dir):
+    return stream_detect(spark, sf_dir, whole=True)

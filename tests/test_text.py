@@ -125,3 +125,12 @@ def test_targets_of_the_whole_detection(spark):
     assert {"Gamma Works", "01-0000013", "000001-2234567", "김철수", "Main Street"} <= texts
     listed = {r["doc_id"]: r["targets"] for r in QUERIES["all_targets_whole"](spark, "/root/testdata/sf0.001").filter("doc_id in (2, 3)").collect()}
     assert "Gamma Works" in listed[2] and [len(t) for t in listed[2]] == sorted(map(len, listed[2]), reverse=True)
+
+
+def test_redaction_by_the_whole_detection(spark, tmp_path):
+    from inkveil.plans.queries import redacted
+
+    texts = ["Company Name: Delta Works; EIN 12-3456789 of Mr. John Smith; Phone: 555 0100 99; signed May 4, 2020.", "대표자: 김철수, 주민번호 900101-1234567, 전화: 02-1234-5678"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = " ".join(r["redacted"] for r in redacted(spark, str(tmp_path), whole=True).collect())
+    assert not [x for x in ("Delta Works", "12-3456789", "John Smith", "555 0100", "May 4", "김철수", "900101", "1234-5678") if x in got]
