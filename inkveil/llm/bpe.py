@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,10 +26,14 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkveil.llm.common import only_cache, release_memory
+
 #: Split of byte-level vocabularies (fixed values of the public format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a worker remembers: two generations of at most so many each.
-CACHE_WORDS = 400_000
+#: Characters and ids that a worker remembers, in bytes: two generations of at most so many each.
+CACHE_BYTES = 12 << 20
+#: What a remembered word takes besides its characters and ids.
+WORD_BYTES = 180
 #: The same split for texts of Latin characters, where the standard library's classes do, and is faster.
 LETTERS, NUMBERS, BLANKS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN_SPLIT = rf""" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"""
@@ -48,28 +53,36 @@ def byte_symbols() -> list[str]:
 
 
 class WordCache:
-    """Ids of words seen lately; bounded, and the words in use survive."""
+    """Ids of words seen lately; bounded in bytes, and the words in use survive."""
 
-    def __init__(self, learn, bound: int = CACHE_WORDS):
+    def __init__(self, learn, bound: int = CACHE_BYTES):
         self.learn, self.bound = learn, bound
+        self.forget()
+
+    def forget(self) -> None:
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.size = 0
 
     def need(self, words: set[str]) -> dict[str, bytes]:
         """A dictionary that holds all these words."""
+        only_cache(self)
         missing = words - self.now.keys()
-        if len(self.now) + len(missing) > self.bound and self.now:
-            self.before, self.now, missing = self.now, {}, words
+        if self.size > self.bound and missing:
+            self.before, self.now, self.size, missing = self.now, {}, 0, words
         old = self.before
         new = []
         for w in missing:
             if w in old:
-                self.now[w] = old[w]
+                self.now[w] = ids = old[w]
+                self.size += len(w) + len(ids) + WORD_BYTES
             else:
                 new.append(w)
-        for k in range(0, len(new), 65_536):
-            part = new[k : k + 65_536]
-            self.now.update(zip(part, self.learn(part)))
+        for k in range(0, len(new), 16_384):
+            part = new[k : k + 16_384]
+            learned = self.learn(part)
+            self.size += sum(map(len, part)) + sum(map(len, learned)) + WORD_BYTES * len(part)
+            self.now.update(zip(part, learned))
         return self.now
 
 
@@ -165,7 +178,7 @@ class BytePairModel:
                 continue
             group.append(self.words(text))
             size += len(text)
-            if size > 1 << 22:
+            if size > 1 << 21:
                 flush()
                 size = 0
         if group:
@@ -198,8 +211,10 @@ def encode(text: Column, vocabulary: str) -> Column:
     """Ids of a text column as binary: little-endian unsigned 32-bit integers."""
 
     @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model(vocabulary).encode_batch(texts.fillna("").tolist()), dtype=object)
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in it:
+            yield pd.Series(model(vocabulary).encode_batch(texts.fillna("").tolist()), dtype=object)
+        release_memory()
 
     return run(text)
 
@@ -208,21 +223,12 @@ def decode(ids: Column, vocabulary: str) -> Column:
     """Texts of a column that :func:`encode` made."""
 
     @F.pandas_udf("string")
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series(model(vocabulary).decode_batch([x or b"" for x in column.tolist()]), dtype=object)
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in it:
+            yield pd.Series(model(vocabulary).decode_batch([x or b"" for x in column.tolist()]), dtype=object)
 
     return run(ids)
 
 
 def n_ids(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
-
-
-def ids_array(ids: Column) -> Column:
-    """The same ids as an array of integers."""
-
-    @F.pandas_udf("array<int>")
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x or b"", "<u4").astype(np.int32) for x in column.tolist()], dtype=object)
-
-    return run(ids)

@@ -1,40 +1,73 @@
-"""What the operators of this subpackage share: the shared folder, folds, files."""
+"""What the operators of this subpackage share: the shared folder, folds, files, memory."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Application (and stage folder, if any) to the folder in use.
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is what ``spark.checkpoint.dir`` names.  Only where that is unset, as in
-    tests on one machine, a temporary folder is made and set.
+    It is what ``spark.checkpoint.dir`` names.  Where that is unset, a temporary folder
+    is made and set if all runs on one machine; on a cluster it is an error.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="inkveil-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, which goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        path = f"{shared_dir(spark)}/inkveil-{uuid.uuid4().hex}"
+        p, fs = _hadoop(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _folders[app] = path
+    return _folders[app]
+
+
+@contextlib.contextmanager
+def stage_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside go at the end; what is to stay must be written before."""
+    app, outer = spark.sparkContext.applicationId, scratch_dir(spark)
+    path = _folders[app] = f"{outer}/stage-{uuid.uuid4().hex}"
+    try:
+        yield outer
+    finally:
+        _folders[app] = outer
+        remove(spark, path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: short lineage, stable rows."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+    return written(df, fresh_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -83,3 +116,26 @@ def small_batches(spark: SparkSession) -> None:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+# -- memory of Python workers ------------------------------------------------------------------
+
+_in_use: list = []
+
+
+def only_cache(owner) -> None:
+    """Says that ``owner``'s cache is the one in use: a worker keeps no other (``forget`` empties it)."""
+    if _in_use and _in_use[0] is owner:
+        return
+    for other in _in_use:
+        other.forget()
+    _in_use[:] = [owner]
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system; workers live on between tasks and stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL(None).malloc_trim(0)

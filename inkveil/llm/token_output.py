@@ -2,46 +2,65 @@
 
 ``write_shards`` tokenises whole texts with the tokenizers library, range-parts
 the documents by identifier and writes one table a partition; ``ShardSet`` looks
-documents up; ``read_back`` reads every shard as a DataFrame.  Shard names follow
-the partition number and a shard appears by one rename, so a task that is run
-again after a loss writes the same file.
+documents up; ``read_back`` reads every shard as a DataFrame.  Every attempt of a task writes a file of its own
+name and reports it, so a task that is run again after a loss overwrites nothing;
+the driver lists the reported files in a manifest and removes all others.
 
 Null and empty texts hold only the end id.  A null identifier sorts first.  Rows
-that repeat an identifier are kept, in order of their text.  An empty table gives
+that repeat an identifier are kept, in order of a hash of their text, and may stand
+in several shards.  An empty table gives
 no shard with entries and no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import unicodedata
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
+from pyarrow.fs import FileSelector
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm.bpe import BLANKS, LETTERS, NUMBERS, WordCache, not_latin
-from inkveil.llm.common import fresh_path, open_fs
+from inkveil.llm.common import fresh_path, open_fs, release_memory
 from inkveil.llm.sstable import Reader, Writer, id_key, key_id
 
 #: Words of this vocabulary's texts in lower case (fixed values of the public format).
 SPLIT = r"\p{L}+|\p{N}|'s|'t|'re|'ve|'m|'ll|'d|[^\s\p{L}\p{N}]+"
+MANIFEST = "MANIFEST.json"
 LATIN_SPLIT = rf"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{BLANKS}{LETTERS}{NUMBERS}]+"
+#: Characters beyond the basic plane that all tables class alike, as neither letter nor number.
+PICTOGRAPHS = (0x1F300, 0x1F64F)
+
+
+def _unsettled() -> str:
+    """A character class of what tables of different age may class differently.
+
+    That is all but Unicode 3.2's characters of the basic plane and the pictographs,
+    for which tests hold the split against the library's, one by one.
+    """
+    new = [c for c in range(0x10000) if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
+    cut = [k for k in range(1, len(new)) if new[k] != new[k - 1] + 1]
+    runs = [(new[a], new[z - 1]) for a, z in zip([0, *cut], [*cut, len(new)])]
+    runs += [(0x10000, PICTOGRAPHS[0] - 1), (PICTOGRAPHS[1] + 1, 0x10FFFF)]
+    return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in runs)
 
 
 class WordTokenizer:
     """The library's tokenizer, asked once for each distinct word.
 
-    A text that is normalised already and lower-cases letter by letter is cut into
-    words here; any other goes to the library whole.
+    A text that is normalised already, lower-cases letter by letter and has no character
+    that tables may class differently is cut into words here; any other goes to the
+    library whole.
     """
 
     def __init__(self, path: str):
@@ -56,7 +75,7 @@ class WordTokenizer:
         self.any_words, self.latin_words = regex.compile(SPLIT).findall, re.compile(LATIN_SPLIT).findall
         marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         # sigma has two small forms, and a dotted I becomes two characters
-        self.special = re.compile("|".join([*marks, "[\u03a3\u0130]"])).search
+        self.special = re.compile("|".join([*marks, f"[\u03a3\u0130{_unsettled()}]"])).search
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -105,10 +124,9 @@ def write_shards(df: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id
         width = struct.pack("B", t.kind.itemsize)
         fs, folder = open_fs(out)
         fs.create_dir(folder, recursive=True)
-        name = f"{folder}/shard-{part:06d}.sst"
-        temp = f"{folder}/.{uuid.uuid4().hex}"
+        name = f"shard-{part:06d}-{uuid.uuid4().hex}.sst"
         last, ordinal, docs, total = object(), 0, 0, 0
-        with fs.open_output_stream(temp) as stream:
+        with fs.open_output_stream(f"{folder}/{name}") as stream:
             table = Writer(stream)
             for ids, texts in _blocks(it):
                 for i, value in zip(ids, t.encode_batch(texts)):
@@ -117,32 +135,54 @@ def write_shards(df: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id
                     table.add(id_key(i, ordinal), width + value + end, n)
                     last, docs, total = i, docs + 1, total + n
             table.close()
+        release_memory()
         if docs:
-            fs.move(temp, name)
-            yield pd.DataFrame({"part": [part], "path": [f"shard-{part:06d}.sst"], "docs": [docs], "ids": [total]})
-        else:
-            fs.delete_file(temp)
+            yield pd.DataFrame({"part": [part], "path": [name], "docs": [docs], "ids": [total]})
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     made = rows.mapInPandas(run, "part int, path string, docs long, ids long").collect()  # a row a shard
-    return [(r["path"], r["docs"], r["ids"]) for r in sorted(made, key=lambda r: r["part"])]
+    shards = [(r["path"], r["docs"], r["ids"]) for r in sorted(made, key=lambda r: r["part"])]
+    fs, folder = open_fs(out)
+    fs.create_dir(folder, recursive=True)
+    with fs.open_output_stream(f"{folder}/{MANIFEST}") as stream:
+        stream.write(json.dumps(shards).encode())
+    known = {name for name, _, _ in shards}
+    for f in fs.get_file_info(FileSelector(folder)):
+        if f.base_name.endswith(".sst") and f.base_name not in known:  # of attempts that were lost
+            fs.delete_file(f.path)
+    return shards
+
+
+def manifest(out: str) -> list[tuple[str, int, int]]:
+    """(file, documents, ids) of the shards of a folder, in order."""
+    fs, folder = open_fs(out)
+    with fs.open_input_file(f"{folder}/{MANIFEST}") as file:
+        return [tuple(x) for x in json.loads(file.read())]
 
 
 class ShardSet:
     """Lookup by identifier over the shards of a folder."""
 
-    def __init__(self, out: str, shards: list[tuple[str, int, int]]):
+    def __init__(self, out: str, shards: list[tuple[str, int, int]] | None = None):
         fs, folder = open_fs(out)
-        self.tables = [Reader(fs.open_input_file(f"{folder}/{name}")) for name, _, _ in shards]
+        self.tables = [Reader(fs.open_input_file(f"{folder}/{name}")) for name, _, _ in (manifest(out) if shards is None else shards)]
 
     def get(self, doc_id: int | None, ordinal: int = 0) -> np.ndarray | None:
-        key = id_key(doc_id, ordinal)
+        """The ids of a document; rows that repeat an identifier are counted over all shards."""
         for t in self.tables:
-            if t.keys and t.keys[0] <= key:
-                value = t.get(key)
+            if t.keys and t.keys[0] <= id_key(doc_id, ordinal):
+                value = t.get(id_key(doc_id, ordinal))
                 if value is not None:
                     return np.frombuffer(value, f"<u{value[0]}", offset=1).astype("<u4")
+                while ordinal and t.get(id_key(doc_id)) is not None:  # as many as this shard has are passed
+                    low, high = 1, ordinal
+                    while low < high:
+                        mid = (low + high) // 2
+                        low, high = (low, mid) if t.get(id_key(doc_id, mid)) is None else (mid + 1, high)
+                    ordinal -= low
+                    break
         return None
 
 
@@ -167,6 +207,7 @@ def read_back(spark: SparkSession, out: str, shards: list[tuple[str, int, int]])
                             rows, held = [], 0
                 if rows:
                     yield _rows(rows)
+        release_memory()
 
     n = len(places)
     return spark.range(0, n, 1, max(1, n)).mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
@@ -180,7 +221,3 @@ def _rows(rows: list[tuple]) -> pd.DataFrame:
 
 def shard_folder(spark: SparkSession) -> str:
     return fresh_path(spark, "token-shards")
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)

@@ -68,13 +68,38 @@ def test_token_shards_round_trip(spark, docs, empty):
         ids = [*lib.encode(t, add_special_tokens=False).ids, 1]
         assert (r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) == (i if known else None, start, ids)
         start += len(ids)
-    table = token_output.ShardSet(out, shards)
+    table = token_output.ShardSet(out)
+    assert token_output.manifest(out) == shards
     assert table.get(5).tolist() == [*lib.encode("word", add_special_tokens=False).ids, 1]
     assert table.get(6, 1) is not None and table.get(6, 2) is None and table.get(10**9) is None
     out2 = token_output.shard_folder(spark)
     assert token_output.read_back(spark, out2, token_output.write_shards(empty, out2, queries.vocabulary("word_bpe_49k.json"))).count() == 0
 
 
+@pytest.mark.parametrize("context", ["a{}b", "1{}2", "!{}?", "{0}{0}"])
+def test_words_are_cut_as_the_library_does(context):
+    """Every character of the basic plane and the pictographs beside letters, numbers and others."""
+    t = token_output.tokenizer(queries.vocabulary("word_bpe_49k.json"))
+    known = [c for c in [*range(0x10000), *range(0x1F300, 0x1F700), 0x107BB, 0x1D400, 0x1D7CE, 0x1E6FF, 0x20000, 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    texts = [context.format(chr(c)) for c in known]
+    t.cache.forget()
+    assert [hex(c) for c, a, b in zip(known, t._library(texts), t.encode_batch(texts)) if a != b] == []
+    assert t.encode_batch(["a\U000107bb😀", "\U000190ff\U00015004"]) == t._library(["a\U000107bb😀", "\U000190ff\U00015004"])
+
+
+def test_a_repeated_identifier_spans_shards(spark):
+    rows = [(7, f"text number {k}") for k in range(400)] + [(k, "x") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = token_output.shard_folder(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shards = token_output.write_shards(df, out, queries.vocabulary("word_bpe_49k.json"), end_id=1)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    table, lib = token_output.ShardSet(out), tokenizer("word_bpe_49k.json")
+    got = sorted(table.get(7, k).tolist() for k in range(400))
+    assert got == sorted([*lib.encode(t, add_special_tokens=False).ids, 1] for i, t in rows if i == 7)
+    assert table.get(7, 400) is None and table.get(3) is not None and len(shards) > 1
+
+
 def test_sorted_string_table(tmp_path):
     keys = [id_key(k * 3 - 500, 0) for k in range(1000)]
     with open(tmp_path / "t", "wb") as f:
