@@ -31,7 +31,7 @@ from inkveil.llm.common import only_cache, release_memory
 #: Split of byte-level vocabularies (fixed values of the public format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters and ids that a worker remembers, in bytes: two generations of at most so many each.
-CACHE_BYTES = 12 << 20
+CACHE_BYTES = 40 << 20
 #: What a remembered word takes besides its characters and ids.
 WORD_BYTES = 180
 #: The same split for texts of Latin characters, where the standard library's classes do, and is faster.

@@ -10,9 +10,13 @@ marginal mass, its score that mass over the number of words.
 Training chains are cut from a bounded sample of documents (``SAMPLE``, with
 ``SEGMENTS`` stretches of ``STRETCH`` words from all over each); half of them join
 stretches of two documents, so that transitions are learned on switched text too.
-Scoring reads whole texts.  Words are runs of letters; texts that are null or have
-no letter get ``und`` with score 0, as do all when nothing could be learned.  Ties go
-to the first language in alphabetical order.  Empty tables give no rows.
+Scoring reads whole texts.  Words are runs of letters (general category L); texts that
+are null or have no letter get ``und`` with score 0, as do all when nothing could be
+learned.  Ties go to the first language in alphabetical order.  A row's result depends
+on its text alone, so repeated rows have like results.  Empty tables give no rows.
+Results are a column, so other columns, whatever their names, are left alone.  The
+languages are the states of the model, so their number is bounded by what a model of
+``languages ** 2`` transitions can be.
 """
 
 from __future__ import annotations
@@ -28,12 +32,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.llm.common import only_cache, release_memory
+
 SAMPLE, SEGMENTS, STRETCH = 3000, 6, 16
 FEATURES, LEXICON, LEAST = 1 << 16, 5000, 5
 STEPS, BATCH, RATE, PENALTY = 250, 512, 0.05, 1e-6
-CACHE, LONGEST = 300_000, 256
+#: Least documents of a language in the sample, however many languages there are.
+LEAST_SAMPLE = 50
+#: Words whose scores a worker remembers, feature strings of a kind, and the longest chain.
+CACHE, STRINGS, LONGEST = 250_000, 30_000, 256
 UNKNOWN = "und"
-WORDS = re.compile(r"[^\W\d_]+").findall
+_runs = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters; the class above also takes numbers such as a half, which are cut out."""
+    found = _runs(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 class _Numbers(dict):
@@ -43,7 +60,7 @@ class _Numbers(dict):
         self.kind = kind
 
     def __missing__(self, key: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > STRINGS:
             self.clear()
         self[key] = found = zlib.crc32((self.kind + key).encode("utf-8", "surrogatepass")) % FEATURES
         return found
@@ -121,9 +138,9 @@ def marginals(e: np.ndarray, length: np.ndarray, start: np.ndarray, move: np.nda
 class ChainModel:
     def __init__(self, languages: list[str], weights: np.ndarray, start: np.ndarray, move: np.ndarray, lexicon: set[str]):
         self.languages, self.weights, self.start, self.move, self.lexicon = languages, weights, start, move, lexicon
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.scores = np.empty((1024, max(1, len(self.languages))), np.float32)
 
@@ -132,12 +149,12 @@ class ChainModel:
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._clear()
+        self.forget()
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         new = sorted(set(words) - self.number.keys())
         if len(self.number) + len(new) > CACHE and self.number:
-            self._clear()
+            self.forget()
             new = sorted(set(words))
         if new:
             at = len(self.number)
@@ -157,7 +174,7 @@ class ChainModel:
         owner, length = [], []
         for d, text in enumerate(texts):
             for line in (text or "").lower().split("\n"):
-                found = WORDS(line)
+                found = words_of(line)
                 words += found
                 for k in range(0, len(found), LONGEST):
                     owner.append(d)
@@ -170,7 +187,7 @@ class ChainModel:
         at = 0
         while at < len(order):  # chains of like length together, so that little is padded
             t = int(size[order[at]])
-            part = order[at : at + max(64, 65_536 // t)]
+            part = order[at : at + max(64, 32_768 // t)]
             part = part[size[part] * 2 >= t]
             at += len(part)
             places = begin[part, None] + np.minimum(np.arange(t), size[part, None] - 1)
@@ -241,20 +258,22 @@ def fit_on_documents(docs: DataFrame, usable: Column, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).filter(usable)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    scale, share = 1 << 30, F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample / max(1, len(counts)) / n) * scale))).otherwise(share)
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(47)), F.lit(scale)) < share)
+    if not counts:
+        return fit([])
+    scale, wanted = 1 << 30, max(LEAST_SAMPLE, sample / len(counts))
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, wanted / n) * scale))])
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(47)), F.lit(scale)) < F.element_at(shares, F.col("lang")))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for i, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
-                words = WORDS(text.lower())
+                words = words_of(text.lower())
                 for k, a in enumerate(np.unique(np.linspace(0, max(0, len(words) - STRETCH), SEGMENTS).astype(int))):
                     if words:
                         out.append((i, k, lang, words[a : a + STRETCH]))
             yield pd.DataFrame(out, columns=["doc_id", "k", "lang", "words"])
+        release_memory()
 
     found = picked.mapInPandas(run, "doc_id long, k int, lang string, words array<string>").toPandas()
     found = found.assign(key=found["words"].map(lambda w: " ".join(w))).sort_values(["doc_id", "k", "lang", "key"])
@@ -264,17 +283,26 @@ def fit_on_documents(docs: DataFrame, usable: Column, id_col: str = "doc_id", te
 def predict(text: Column, model: ChainModel) -> Column:
     """struct<lang: string, score: double> of each text."""
 
-    @F.pandas_udf("lang string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def batch(texts: pd.Series) -> pd.DataFrame:
         said: list[tuple[str, float]] = []
         held, size = [], 0
         for t in texts.tolist():
             held.append(t)
             size += len(t or "")
-            if size > 1 << 21:
+            if size > 1 << 20:
                 said += model.predict(held)
                 held, size = [], 0
         said += model.predict(held) if held else []
         return pd.DataFrame(said, columns=["lang", "score"])
 
+    @F.pandas_udf("lang string, score double")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in it:
+            only_cache(model)
+            yield batch(texts)
+        model.forget()
+        for strings in (_prefix, _suffix, _gram):
+            strings.clear()
+        release_memory()
+
     return run(text)

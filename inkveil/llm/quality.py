@@ -7,9 +7,12 @@ feature's lookup table at a small rate; then the pairs with the largest gain on
 residuals get tables of their own, by trees with one cut on each axis.  A score is
 the logistic function of a sum of table entries, looked up for whole arrays.
 
-Labels are read from a bounded sample (``SAMPLE`` documents of each class).  Null
-texts count as empty.  Without labelled rows of both classes every score is the
-share of the class there is, or 0.5.  Empty tables give no rows.
+Labels are read from a bounded sample (``SAMPLE`` documents of each class), weighted
+by the classes' counts in the whole table.  Null and empty texts have a score as any
+other.  Without labelled rows of both classes every score is the share of the class
+there is, or 0.5 (``AdditiveModel.learned`` is False).  A row's score depends on its
+text alone, so repeated rows score alike.  Empty tables give no rows.  Scores are a
+column, so other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.llm.common import release_memory
 from inkveil.llm.labelled import labelled_documents
 
 KEEP = 0.7
@@ -125,6 +129,7 @@ class AdditiveModel:
 
     def __init__(self, edges: list[np.ndarray], constant: float):
         self.edges, self.constant = edges, constant
+        self.learned = False
         self.tables = [np.zeros(len(e) + 1) for e in edges]
         self.pairs: dict[tuple[int, int], np.ndarray] = {}
 
@@ -150,6 +155,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Addit
     model = AdditiveModel(edges, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if len(np.unique(y)) < 2:
         return model
+    model.learned = True
     b = model.bins(x)
     f = model.raw(b)
 
@@ -193,20 +199,23 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, usable: Column, label_col:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pd.DataFrame({"x": list(_matrix(pdf["text"].tolist())), "label": pdf["label"], "doc_id": pdf["doc_id"]})
+            yield pd.DataFrame({"x": list(_matrix(pdf["text"].tolist())), "label": pdf["label"], "doc_id": pdf["doc_id"], "weight": pdf["weight"]})
+        release_memory()
 
     rows = labelled_documents(docs, labels, label_col, usable, {0: sample, 1: sample})
-    found = rows.mapInPandas(run, "x array<double>, label int, doc_id long").toPandas()
+    found = rows.mapInPandas(run, "x array<double>, label int, doc_id long, weight double").toPandas()
     found = found.assign(first=[float(v[0]) for v in found["x"]]).sort_values(["doc_id", "label", "first"])
     x = np.vstack(found["x"].tolist()) if len(found) else np.empty((0, len(FEATURES)))
-    return fit(x, found["label"].to_numpy().astype(float))
+    return fit(x, found["label"].to_numpy().astype(float), found["weight"].to_numpy() / max(1.0, found["weight"].mean()) if len(found) else None)
 
 
 def score(text: Column, model: AdditiveModel) -> Column:
     """0 to 1, higher: likelier of good quality."""
 
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_matrix(texts.tolist())))
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in it:
+            yield pd.Series(model.score(_matrix(texts.tolist())))
+        release_memory()
 
     return run(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import bpe, embedding_dedup, language, minhash_dedup, packing, quality, suffix_dedup, token_output, topk, toxicity
@@ -28,10 +28,15 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether labels of a document are not for learning; those of a null identifier never are."""
+    return F.coalesce(id_fold(F.col("doc_id"), modulus) == remainder, F.lit(True)).alias("held_out")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit_on_labels(docs, labels(spark, sf_dir), id_fold(F.col("doc_id"), 4) != 2)
-    out = docs.select("doc_id", (id_fold(F.col("doc_id"), 4) == 2).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    out = docs.select("doc_id", held_out(4, 2), quality.score(F.col("text"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= quality.KEEP).cast("int"))
 
 
@@ -44,7 +49,7 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit_on_labels(docs, labels(spark, sf_dir), id_fold(F.col("doc_id"), 5) != 0)
-    out = docs.select("doc_id", (id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    out = docs.select("doc_id", held_out(5, 0), toxicity.score(F.col("text"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -72,7 +77,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit_on_documents(docs, id_fold(F.col("doc_id"), 5) != 0)
-    said = docs.select("doc_id", (id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), language.predict(F.col("text"), model).alias("p"))
+    said = docs.select("doc_id", held_out(5, 0), language.predict(F.col("text"), model).alias("p"))
     return said.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
