@@ -10,6 +10,11 @@ comparison a member.  Candidates must first look alike by their odd sketches,
 parity bitmaps of the MinHash samples whose XOR counts the samples that differ;
 then the whole sets are compared.
 
+Sets are of 64-bit hashes of shingles.  Equal sets are told by 128 bits of a
+cryptographic hash over the whole sorted set, and the links of others are confirmed on
+whole sets, where two different shingles of a pair of documents with n shingles hash
+alike with a probability under n * n / 2**64.
+
 With 48 bands of 6 samples two sets of similarity 0.8 share no bucket with
 probability 5e-7; the sketch bound lets such a pair go with less than 1e-6.
 
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import rolling
-from inkveil.llm.common import materialize
+from inkveil.llm.common import materialize, release_memory
 from inkveil.llm.components import connected_components, forest
 
 BANDS, ROWS = 48, 6
@@ -41,6 +46,8 @@ SKETCH_BITS = 512
 SKETCH_SIGMAS, SAFETY = 12.0, 5.25
 #: Members of a bucket on one side of a comparison; buckets up to SMALL go pair by pair.
 TILE, SMALL = 1024, 32
+#: Bytes of the longest word that is hashed as a polynomial.
+LONG_WORD = 24
 #: Shingles of a tile that are counted at once.
 COLUMNS = 1 << 13
 
@@ -52,6 +59,18 @@ _blank = np.zeros(256, bool)
 _blank[[32, *range(9, 14)]] = True
 
 
+def _word_hashes(flat: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Short words by a polynomial over random byte values; long ones, on which polynomials
+    modulo a power of two have known collisions, by a cryptographic hash of their bytes."""
+    word = rolling.mix(rolling.spans(rolling.prefix(flat), start, stop) + (stop - start).astype(np.uint64))
+    long = np.flatnonzero(stop - start > LONG_WORD)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(flat))
+        hashed = [hashlib.blake2b(view[a:z], digest_size=8).digest() for a, z in zip(start[long].tolist(), stop[long].tolist())]
+        word[long] = np.frombuffer(b"".join(hashed), np.uint64)
+    return word
+
+
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data = [b" " if t is None else t.encode("utf-8", "surrogatepass").lower() + b" " for t in texts]
@@ -60,8 +79,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     blank = _blank[flat]
     edge = np.diff(np.r_[True, blank].astype(np.int8))
     start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    prefixes = rolling.prefix(flat)
-    word = rolling.mix(rolling.spans(prefixes, start, stop) + (stop - start).astype(np.uint64))
+    word = _word_hashes(flat, start, stop)
     owner = np.searchsorted(ends, start, side="right")
     counts = np.bincount(owner, minlength=len(texts)) if len(texts) else np.empty(0, int)
     at = np.r_[0, np.cumsum(counts)]
@@ -114,11 +132,12 @@ def sketch_limit(similarity: float) -> int:
     return int(np.ceil(expected + SAFETY * SKETCH_SIGMAS))
 
 
-def set_key(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(shingles: np.ndarray) -> bytes:
+    """128 bits of a cryptographic hash of the set: no two sets of a corpus share them by chance."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _batches(it: Iterator[pd.DataFrame], chars: int = 1 << 21) -> Iterator[pd.DataFrame]:
+def _batches(it: Iterator[pd.DataFrame], chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
     for pdf in it:
         cut = (pdf["text"].fillna("").str.len().cumsum() // chars).to_numpy()
         for k in np.unique(cut):
@@ -133,10 +152,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 low = samples(s) if len(s) else None
                 rows.append((i, len(s), *((set_key(s), band_keys(low), odd_sketch(low)) if len(s) else (None, None, None))))
             out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "cid", "bands", "sketch"])
-            out["cid"], out["doc_id"] = out["cid"].astype("Int64"), out["doc_id"].astype("Int64")
+            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        release_memory()
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, cid long, bands array<long>, sketch array<long>")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, cid binary, bands array<long>, sketch array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -146,9 +166,10 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for pdf in _batches(it):
             found = [(c, s.tobytes()) for c, s in zip(pdf["cid"], shingle_sets(pdf["text"].tolist(), words)) if len(s) and set_key(s) == c]
             yield pd.DataFrame(found, columns=["cid", "shingles"])
+        release_memory()
 
     rows = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-    return rows.select("cid", "text").mapInPandas(run, "cid long, shingles binary").dropDuplicates(["cid"])
+    return rows.select("cid", "text").mapInPandas(run, "cid binary, shingles binary").dropDuplicates(["cid"])
 
 
 def _mixed(buckets: DataFrame) -> DataFrame:
@@ -189,6 +210,7 @@ def _by_tile(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd
             rest = pdf.iloc[cut[-1] :] if len(cut) else pdf
         if rest is not None and len(rest):
             yield work(rest)
+        release_memory()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
@@ -216,7 +238,7 @@ def _across_components(active: DataFrame, sketches: DataFrame, limit: int) -> Da
         cid, rep = pdf["cid"].to_numpy(), pdf["rep"].to_numpy()
         return pd.DataFrame({"cx": cid[i], "cy": cid[j], "rx": rep[i], "ry": rep[j]})
 
-    found = _by_tile(rows, ["bucket"], compare, "cx long, cy long, rx long, ry long")
+    found = _by_tile(rows, ["bucket"], compare, "cx binary, cy binary, rx long, ry long")
     return found.select(*_ordered("cx", "cy", "rx", "ry")).distinct()
 
 

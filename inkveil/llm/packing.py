@@ -3,10 +3,12 @@
 Lengths are integers up to the capacity, so the packing problem is solved on the
 histogram of lengths, whose size does not grow with the corpus.  Best-fit
 decreasing gives the incumbent.  Bin completion then works down from the largest
-length: it lists the undominated fillings around it, applies the chosen one as
-often as the counts allow, and branches over the others; a branch is cut when its
-waste exceeds what a packing with one sequence less may waste.  The search ends at
-the lower bound or after a stated number of nodes, with the best packing found.
+length: it branches over all undominated fillings around it, least waste first, used
+as often as the counts allow or once; a branch is cut when its waste, or a lower bound
+of what is left, exceeds what a packing with one sequence less may have, and best fit
+of what is left is an incumbent of its own.  The search ends at the lower bound, or
+with all branches done, or after a stated amount of work (``WORK``), which counts at
+every size alike, with the best packing found.
 
 Pieces get their places without a global sort: each task counts lengths while it
 cuts documents, the counts of (length, task) are summed up by a window, and a
@@ -32,30 +34,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkveil.llm import bpe
-from inkveil.llm.common import materialize
+from inkveil.llm.common import materialize, release_memory
 
 CAPACITY = 1024
-#: Nodes that the branch and bound visits, and fillings that it lists for one node.
-NODES, FILLINGS = 400, 24
+#: Lengths and steps that the branch and bound looks at, over all its nodes, before it stops.
+WORK = 2_000_000
+#: What a node counts besides its lengths.
+NODE = 200
 
 Pattern = tuple[int, ...]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Sequences that no packing can do without (Martello and Toth's L2)."""
-    lengths = sorted(counts)
-    if not lengths:
+    if not counts:
         return 0
-    best = 0
+    n = np.zeros(capacity + 1, np.int64)
+    for x, c in counts.items():
+        n[x] = c
+    number, size = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
     half = capacity // 2
-    for k in [0, *[x for x in lengths if x <= half]]:
-        alone = sum(c for x, c in counts.items() if x > capacity - k)
-        big = [(x, c) for x, c in counts.items() if half < x <= capacity - k]
-        n = sum(c for _, c in big)
-        free = n * capacity - sum(x * c for x, c in big)
-        small = sum(x * c for x, c in counts.items() if k <= x <= half)
-        best = max(best, alone + n + max(0, -(-(small - free) // capacity)))
-    return best
+    k = np.arange(half + 1)  # lengths under k are left out, those over capacity - k are alone
+    alone = number[capacity] - number[capacity - k]
+    big, free = number[capacity - k] - number[half], (number[capacity - k] - number[half]) * capacity - (size[capacity - k] - size[half])
+    small = size[half] - np.where(k > 0, size[np.maximum(k - 1, 0)], 0)
+    return int((alone + big + np.maximum(0, -(-(small - free) // capacity))).max())
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -94,84 +97,145 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [g for room in rooms for g in groups[room]]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int) -> list[Pattern]:
-    """Undominated fillings of a room, least waste first; lengths descend.
+def _dominated(filling: Pattern, left: dict[int, int], spare: int, spare_of: int) -> bool:
+    """Whether one length that is left over could stand for some of the filling's.
 
-    A filling is dominated if a larger left-over length fits in place of one of
-    its own, so only maximal ones are listed; equal sums prefer fewer, larger parts.
+    That is one at least as long as they are together, with no more than ``spare`` on
+    top; then what it stands for is free for other sequences, and nothing is lost.
+    ``spare_of`` has a bit for each length of which some are left over.
     """
-    found: dict[int, Pattern] = {}
-    steps = [0]
+    one = many = 0  # sums of one length, and of several, as bits
+    for x in filling:
+        many |= (many | one) << x
+        one |= 1 << x
+    if many:
+        reach, step = many, 1
+        while step <= spare:  # sums and up to ``spare`` more
+            more = min(step, spare + 1 - step)
+            reach |= reach << more
+            step += more
+        if reach & spare_of:
+            return True
+    return any(spare_of >> (x + 1) & ((1 << spare) - 1) for x in set(filling)) if spare else False
 
-    def go(at: int, room: int, chosen: Pattern) -> None:
-        steps[0] += 1
-        if steps[0] > 50 * most:
-            return
-        maximal = True
-        while at < len(lengths) and lengths[at] > room:
-            at += 1
-        for k in range(at, len(lengths)):
+
+class Effort:
+    """What a search may still look at: lengths, and steps of listing fillings."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, most_waste: int, effort: Effort) -> Iterator[Pattern]:
+    """All undominated fillings of a room, least waste first, while there is effort left; lengths descend.
+
+    They are found one by one: a table says which sums the shorter lengths can make,
+    so that no branch is entered that has no filling of the wanted sum.
+    """
+    lengths = [x for x in lengths if x <= room]
+    effort.left -= len(lengths)
+    full = (1 << (room + 1)) - 1
+    sums = [1] * (len(lengths) + 1)
+    for k in range(len(lengths) - 1, -1, -1):
+        x, n, made = lengths[k], min(counts[lengths[k]], room // lengths[k]), sums[k + 1]
+        step = 1
+        while n:  # powers of two, so that few shifts make all multiples
+            use = min(step, n)
+            made |= made << (x * use) & full
+            n, step = n - use, step * 2
+        sums[k] = made
+    spare_all = sum(1 << x for x in lengths)
+    for waste in range(min(room, most_waste) + 1):
+        if not sums[0] >> (room - waste) & 1:
+            continue
+        stack: list[tuple[int, int, Pattern]] = [(0, room - waste, ())]
+        while stack and effort.left > 0:
+            effort.left -= 1
+            k, want, chosen = stack.pop()
+            if not want:
+                effort.left -= len(chosen)
+                used = Counter(chosen)
+                spare_of = spare_all
+                for x, c in used.items():
+                    if c == counts[x]:
+                        spare_of &= ~(1 << x)
+                if not spare_of & ((1 << (waste + 1)) - 1) and not _dominated(chosen, counts, waste, spare_of):
+                    yield chosen
+                continue
+            if k == len(lengths):
+                continue
             x = lengths[k]
-            if x <= room and chosen.count(x) < counts[x]:
-                maximal = False
-                go(k, room - x, (*chosen, x))
-                if room in found or len(found) >= most and 0 in found:
-                    return
-        if maximal and room not in found:
-            found[room] = chosen
+            for times in range(min(counts[x], want // x) + 1):  # the last one pushed, most of the longest, comes first
+                if sums[k + 1] >> (want - x * times) & 1:
+                    stack.append((k + 1, want - x * times, chosen + (x,) * times))
 
-    go(0, room, ())
-    return [found[w] for w in sorted(found)][:most]
 
+def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, work: int = WORK) -> list[tuple[Pattern, int]]:
+    """Patterns of lengths with how often each is used; all lengths are used up.
 
-def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """Patterns of lengths with how often each is used; all lengths are used up."""
+    The search is exact unless it stops for the ``work`` it has done.
+    """
+    effort = Effort(work)
     counts = {x: c for x, c in counts.items() if c}
     best = best_fit(counts, capacity)
     used = sum(n for _, n in best)
     least = lower_bound(counts, capacity)
     total = sum(x * c for x, c in counts.items())
-    visited = 0
-    stack: list[tuple[dict[int, int], list[tuple[Pattern, int]], int, int]] = [(counts, [], 0, 0)]
-    while stack and used > least and visited < nodes:
-        left, made, bins, waste = stack.pop()
-        visited += 1
-        allowed = (used - 1) * capacity - total
-        while left and waste <= allowed:
-            top = max(left)
-            rest = dict(left)
-            rest[top] -= 1
-            if not rest[top]:
-                del rest[top]
-            options = fillings(sorted(rest, reverse=True), rest, capacity - top, FILLINGS)
-            first = None
-            for f in options:
-                need = Counter((top, *f))
-                lost = capacity - top - sum(f)
-                times = min(left[x] // n for x, n in need.items())
-                if lost:
-                    times = min(times, max(1, (allowed - waste) // lost))
-                if waste + lost * times > allowed:
-                    continue
-                after = {x: c for x in left if (c := left[x] - need.get(x, 0) * times)}
-                node = (after, [*made, ((top, *f), times)], bins + times, waste + lost * times)
-                if first is None:
-                    first = node
-                elif len(stack) < 4 * nodes:
-                    stack.append(node)
-            if first is None:
-                break
-            left, made, bins, waste = first
-            visited += 1
-            if visited >= nodes + 4 * capacity:
-                break
-        if not left and bins < used:
-            best, used = made, bins
-        elif left:
-            # complete what is left by best fit: an incumbent of its own
-            tail = best_fit(left, capacity)
-            if bins + sum(n for _, n in tail) < used:
-                best, used = made + tail, bins + sum(n for _, n in tail)
+
+    def branches(left: dict[int, int], waste: int) -> Iterator[tuple[Pattern, int, int]]:
+        """(pattern, times, waste): what may be done with the longest that is left."""
+        top = max(left)
+        rest = dict(left)
+        rest[top] -= 1
+        if not rest[top]:
+            del rest[top]
+        allowed = (used - 1) * capacity - total - waste
+        for f in fillings(sorted(rest, reverse=True), rest, capacity - top, allowed, effort):
+            need = Counter((top, *f))
+            lost = capacity - top - sum(f)
+            if lost > (used - 1) * capacity - total - waste:
+                return
+            most = min(left[x] // n for x, n in need.items())
+            if lost:
+                most = min(most, allowed // lost)
+            for times in dict.fromkeys((most, 1)):  # as often as can be, or once and then anything
+                if times:
+                    yield (top, *f), times, lost * times
+
+    path: list[tuple[dict[int, int], Iterator, Pattern, int, int, int]] = []  # with bins and waste so far
+
+    def enter(left: dict[int, int], pattern: Pattern, times: int, bins: int, waste: int) -> None:
+        nonlocal best, used
+        made = [(p[2], p[3]) for p in path[1:]] + ([(pattern, times)] if times else [])
+        effort.left -= len(left) + NODE
+        if not left:
+            if bins < used:
+                best, used = made, bins
+            return
+        if bins + lower_bound(left, capacity) >= used:
+            return
+        tail = best_fit(left, capacity)  # an incumbent of its own
+        n = sum(n for _, n in tail)
+        if bins + n < used:
+            best, used = made + tail, bins + n
+            if bins + lower_bound(left, capacity) >= used:
+                return
+        path.append((left, branches(left, waste), pattern, times, bins, waste))
+
+    if used > least:
+        enter(counts, (), 0, 0, 0)
+    while path and used > least and effort.left > 0:
+        left, options, _, _, bins, waste = path[-1]
+        option = next(options, None)
+        if option is None or bins >= used:
+            path.pop()
+            continue
+        pattern, times, lost = option
+        if waste + lost > (used - 1) * capacity - total:
+            continue
+        need = Counter(pattern)
+        after = {x: c for x in left if (c := left[x] - need.get(x, 0) * times)}
+        enter(after, pattern, times, bins + times, waste + lost)
     return best
 
 
@@ -212,9 +276,9 @@ def cut_documents(df: DataFrame, vocabulary: str, end_id: int, capacity: int, id
         model, end = bpe.model(vocabulary), np.array([end_id], "<u4").tobytes()
         for pdf in it:
             ids, texts = pdf["doc_id"], pdf["text"].fillna("").tolist()
-            for k in range(0, len(texts), 1024):
+            for k in range(0, len(texts), 256):
                 rows = []
-                for i, data in zip(ids.iloc[k : k + 1024].tolist(), model.encode_batch(texts[k : k + 1024])):
+                for i, data in zip(ids.iloc[k : k + 256].tolist(), model.encode_batch(texts[k : k + 256])):
                     data += end
                     n = len(data) // 4
                     first = n % capacity or capacity
@@ -226,6 +290,7 @@ def cut_documents(df: DataFrame, vocabulary: str, end_id: int, capacity: int, id
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "task_rank", "ids"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out if with_ids else out.drop(columns="ids")
+        release_memory()
 
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, task_rank long"
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

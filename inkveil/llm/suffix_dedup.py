@@ -19,7 +19,10 @@ more than once:
    anchors are merge-sorted, comparing two suffixes by binary search for their
    common extension over prefix polynomial hashes; adjacent extensions give the
    classes of windows, with the hash of the bytes before the anchor.  Windows found
-   equal are compared byte by byte, so a collision removes nothing.
+   equal are compared byte by byte, so a collision removes nothing.  What is removed
+   without that, contexts that are equal as a whole and single windows of large groups,
+   is told equal by a cryptographic hash of its bytes (128 bits for windows; for
+   contexts 64 bits beside the 64 of the polynomial).
 4. Each chunk takes the spans that concern it and cuts its documents.
 
 Counts between the steps travel as narrow rows; texts are never shuffled.
@@ -343,11 +346,14 @@ def _repeated_grams(corpus: Corpus) -> DataFrame:
     return materialize(seen.select("chunk", F.lit(0).alias("kind"), F.col("gram").alias("x"), F.lit(0).cast("long").alias("y")), "repeated-grams")
 
 
-def _contexts(b: Batch, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _contexts(b: Batch, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each anchor's context: a polynomial, and a cryptographic one that confirms it."""
     low = np.maximum(at - REACH, b.starts[doc])
     high = np.minimum(at + WINDOW, b.ends[doc])
     shape = rolling.mix(((at - low) * 256 + (high - at)).astype(np.uint64))
-    return rolling.mix(rolling.spans(b.prefix, low, high) + shape)
+    view = memoryview(np.ascontiguousarray(b.data))
+    proof = b"".join([hashlib.blake2b(view[a:z], digest_size=8).digest() for a, z in zip(low.tolist(), high.tolist())])
+    return rolling.mix(rolling.spans(b.prefix, low, high) + shape), np.frombuffer(proof, np.int64)
 
 
 def _anchors(corpus: Corpus, grams: DataFrame) -> DataFrame:
@@ -362,16 +368,18 @@ def _anchors(corpus: Corpus, grams: DataFrame) -> DataFrame:
             hit = wanted[np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)] == gram
             at, doc, gram = at[hit], doc[hit], gram[hit]
             place = (order[b.first_row + doc] << bits) | (at - b.starts[doc])
-            found.append((gram.view(np.int64), _contexts(b, at, doc).view(np.int64), place))
+            context, proof = _contexts(b, at, doc)
+            found.append((gram.view(np.int64), context.view(np.int64), proof, place))
         if not found:
-            return pd.DataFrame({"gram": [], "context": [], "place": [], "chunk": [], "first": []})
-        gram, context, place = (np.concatenate(x) for x in zip(*found))
-        by = np.lexsort((place, context, gram))
-        gram, context, place = gram[by], context[by], place[by]
-        first = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])] if len(gram) else np.empty(0, bool)
-        return pd.DataFrame({"gram": gram, "context": context, "place": place, "chunk": np.int32(chunk), "first": first})
+            return pd.DataFrame({"gram": [], "context": [], "proof": [], "place": [], "chunk": [], "first": []})
+        gram, context, proof, place = (np.concatenate(x) for x in zip(*found))
+        by = np.lexsort((place, proof, context, gram))
+        gram, context, proof, place = gram[by], context[by], proof[by], place[by]
+        first = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]) | (proof[1:] != proof[:-1])] if len(gram) else np.empty(0, bool)
+        return pd.DataFrame({"gram": gram, "context": context, "proof": proof, "place": place, "chunk": np.int32(chunk), "first": first})
 
-    return materialize(corpus.over_chunks([grams], work, "gram long, context long, place long, chunk int, first boolean"), "anchors")
+    anchors = corpus.over_chunks([grams], work, "gram long, context long, proof long, place long, chunk int, first boolean")
+    return materialize(anchors, "anchors")
 
 
 def _note(df: DataFrame, kind: int, x: str, y: str) -> DataFrame:
@@ -530,7 +538,7 @@ def _spans(corpus: Corpus) -> DataFrame:
     """Notes for the chunks: repeated spans (kind 6) and anchors repeated with their context (kind 4)."""
     bits = corpus.place_bits
     anchors = _anchors(corpus, _repeated_grams(corpus))
-    by_class = Window.partitionBy("gram", "context")  # a row for each chunk at most
+    by_class = Window.partitionBy("gram", "context", "proof")  # a row for each chunk at most
     firsts = materialize(anchors.filter("first").withColumn("p0", F.min("place").over(by_class)), "first-anchors")
     later = anchors.filter("not first").select("chunk", "place").unionByName(firsts.filter("place > p0").select("chunk", "place"))
     origin = firsts.filter("place = p0")

@@ -82,7 +82,7 @@ class GramModel:
 
 def fit(words: list[list[str]], y: np.ndarray, weight: np.ndarray | None = None) -> GramModel:
     """words: the distinct words of each document; y: 1 for toxic; weight: of documents."""
-    w = np.ones(len(y)) if weight is None else weight / max(weight.mean(), 1e-12)
+    w = np.ones(len(y)) if weight is None or not len(y) else weight / weight.mean()
     share = float((w * y).mean()) if len(y) else 0.5
     prior = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if len(np.unique(y)) < 2:

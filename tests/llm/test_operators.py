@@ -213,6 +213,17 @@ def test_minhash_on_odd_rows(docs, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_words_that_collide_as_polynomials(spark):
+    a = "a"
+    while len(a) < 1024:  # a word of Thue and Morse, and its complement
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    x, y = minhash_dedup.shingle_sets([f"x {a} y {b} x", f"x {b} y {a} x"], 2)
+    assert not np.intersect1d(x, y).size
+    df = spark.createDataFrame([(1, f"x {a} y {b} x"), (2, f"x {b} y {a} x"), (3, a), (4, b), (5, a.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, words=2).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
 def test_common_shingles():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 500, 200).astype(np.uint64)) for _ in range(9)]
@@ -282,15 +293,18 @@ def test_top_k_on_odd_rows(spark):
 
 
 def best_bins(items, cap):
+    """An exact solver: every item into every sequence or a new one, with a volume bound."""
+    items = sorted(items, reverse=True)
+    rest = [sum(items[k:]) for k in range(len(items) + 1)]
     best = [len(items)]
 
     def go(i, bins):
-        if len(bins) >= best[0]:
+        if len(bins) + max(0, -(-(rest[i] - sum(bins)) // cap)) >= best[0]:
             return
         if i == len(items):
             best[0] = len(bins)
             return
-        for room in set(bins):
+        for room in sorted(set(bins)):
             if room >= items[i]:
                 k = bins.index(room)
                 go(i + 1, [*bins[:k], room - items[i], *bins[k + 1 :]])
@@ -302,12 +316,38 @@ def best_bins(items, cap):
 
 def test_packing_is_optimal_on_small_cases():
     rng = np.random.default_rng(5)
-    for _ in range(60):
-        items = sorted((int(x) for x in rng.integers(5, 70, rng.integers(1, 10))), reverse=True)
-        made = packing.pack_counts(dict(Counter(items)), 100)
+    cases = [([30, 32, 37, 39, 46, 47, 48, 51, 52, 66], 150)]
+    for _ in range(400):
+        cap = int(rng.choice([60, 100, 150, 1024]))
+        low, high = rng.choice([0.03, 0.1, 0.2]) * cap, rng.choice([0.4, 0.5, 0.7]) * cap
+        cases.append(([int(x) for x in rng.integers(max(1, int(low)), int(high), rng.integers(1, 17))], cap))
+    for items, cap in cases:
+        made = packing.pack_counts(dict(Counter(items)), cap)
         used = Counter(x for p, n in made for x in p for _ in range(n))
-        assert used == Counter(items) and all(sum(p) <= 100 for p, _ in made)
-        assert sum(n for _, n in made) == best_bins(items, 100)
+        assert used == Counter(items) and all(sum(p) <= cap for p, _ in made)
+        n = sum(n for _, n in made)
+        assert n == packing.lower_bound(dict(Counter(items)), cap) or n == best_bins(items, cap)
+
+
+def test_fillings_are_all_that_are_undominated():
+    counts, room = {9: 1, 7: 2, 5: 1, 4: 2, 2: 1}, 14
+    lengths = sorted(counts, reverse=True)
+    got = list(packing.fillings(lengths, counts, room, room, packing.Effort(10**6)))
+    every = {()}
+    for x in lengths:
+        every |= {(*f, *[x] * k) for f in every for k in range(1, counts[x] + 1) if sum(f) + x * k <= room}
+
+    def dominated(f):
+        for x in lengths:
+            if counts[x] > f.count(x):
+                for mask in range(1 << len(f)):
+                    part = [v for k, v in enumerate(f) if mask >> k & 1]
+                    if part != [x] and sum(part) <= x and x - sum(part) <= room - sum(f):
+                        return True
+        return False
+
+    assert sorted(got) == sorted(f for f in every if not dominated(f))
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
 
 
 def test_packing_rows(spark, docs, empty):
@@ -354,11 +394,138 @@ def test_code_switched_words():
     rng = np.random.default_rng(8)
     en, fr = ["the", "and", "thing", "with", "worth"], ["le", "queue", "étre", "eaux", "mente"]
     model = language.fit([(k, list(rng.choice(w, 16))) for _ in range(60) for k, w in (("en", en), ("fr", fr))])
-    assert [p[0] for p in model.predict(["the thing with the worth", "le queue étre eaux", "123 !?", None])] == ["en", "fr", "und", "und"]
+    assert [p[0] for p in model.predict(["the thing with the worth", "le queue étre eaux", "123 !?", None, "²", "½ ⅷ", "①", ""])] == ["en", "fr", *["und"] * 6]
+    assert language.words_of("a²b x_y1é") == ["a", "b", "x", "y", "é"]
     said, score = model.predict([" ".join(en * 3 + fr)])[0]
     assert said == "en" and 0.6 < score < 0.9
 
 
+def test_marginals_equal_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    length, k = np.array([4, 3, 1]), 3
+    e, start, move = rng.standard_normal((3, 4, k)), rng.standard_normal(k), rng.standard_normal((k, k))
+    got, pairs = language.forward_backward(e, length, start, move)
+    want, want_pairs = np.zeros_like(got), np.zeros((k, k))
+    for c, n in enumerate(length):
+        paths = list(itertools.product(range(k), repeat=int(n)))
+        p = np.array([np.exp(start[x[0]] + sum(e[c, t, s] for t, s in enumerate(x)) + sum(move[a, b] for a, b in zip(x, x[1:]))) for x in paths])
+        p /= p.sum()
+        for x, q in zip(paths, p):
+            for t, s in enumerate(x):
+                want[c, t, s] += q
+            for a, b in zip(x, x[1:]):
+                want_pairs[a, b] += q
+    live = np.arange(4) < length[:, None]
+    assert np.allclose(got[live], want[live]) and np.allclose(pairs, want_pairs)
+    assert np.allclose(language.marginals(e, length, start, move)[live], want[live])
+
+
+def test_quality_equals_a_plain_fit(monkeypatch):
+    """The same cyclic boosting with plain loops over rows, bins and cuts."""
+    monkeypatch.setattr(quality, "ROUNDS", 3)
+    monkeypatch.setattr(quality, "PAIR_ROUNDS", 2)
+    monkeypatch.setattr(quality, "PAIRS", 1)
+    monkeypatch.setattr(quality, "BINS", 4)
+    rng = np.random.default_rng(0)
+    x = rng.random((120, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    w = rng.uniform(0.5, 2, 120)
+    model = quality.fit(x, y, w)
+    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 5)[1:-1])) for k in range(3)]
+    bins = [[sum(v >= c for c in e) for v in x[:, k]] for k, e in enumerate(edges)]
+    share = (w * y).sum() / w.sum()
+    f = [np.log(share / (1 - share))] * 120
+    tables = [[0.0] * (len(e) + 1) for e in edges]
+
+    def slopes():
+        p = [1 / (1 + np.exp(-v)) for v in f]
+        return [w[i] * (y[i] - p[i]) for i in range(120)], [w[i] * max(p[i] * (1 - p[i]), 1e-6) for i in range(120)]
+
+    gain = lambda a, b: a * a / (b + quality.RIDGE)
+
+    def tree(g, h):
+        cuts = [0, len(g)]
+        for _ in range(quality.LEAVES - 1):
+            best, where = 1e-9, None
+            for a, z in zip(cuts, cuts[1:]):
+                for k in range(a + 1, z):
+                    if min(sum(h[a:k]), sum(h[k:z])) >= quality.LEAST:
+                        d = gain(sum(g[a:k]), sum(h[a:k])) + gain(sum(g[k:z]), sum(h[k:z])) - gain(sum(g[a:z]), sum(h[a:z]))
+                        if d > best + 1e-12:
+                            best, where = d, k
+            if where is None:
+                break
+            cuts = sorted([*cuts, where])
+        return [sum(g[a:z]) / (sum(h[a:z]) + quality.RIDGE) for a, z in zip(cuts, cuts[1:]) for _ in range(a, z)]
+
+    for _ in range(3):
+        for k in range(3):
+            g, h = slopes()
+            step = tree([sum(g[i] for i in range(120) if bins[k][i] == b) for b in range(len(tables[k]))], [sum(h[i] for i in range(120) if bins[k][i] == b) for b in range(len(tables[k]))])
+            for b, s in enumerate(step):
+                tables[k][b] += quality.RATE * s
+            f = [v + quality.RATE * step[bins[k][i]] for i, v in enumerate(f)]
+
+    def corner(i, j, g, h):
+        best = (-1.0,)
+        for a in range(1, len(tables[i])):
+            for b in range(1, len(tables[j])):
+                parts = [[r for r in range(120) if (bins[i][r] >= a) == p and (bins[j][r] >= b) == q] for p in (False, True) for q in (False, True)]
+                value = sum(gain(sum(g[r] for r in p), sum(h[r] for r in p)) for p in parts) - gain(sum(g), sum(h))
+                if value > best[0] + 1e-12:
+                    best = (value, parts, [sum(g[r] for r in p) / (sum(h[r] for r in p) + quality.RIDGE) for p in parts])
+        return best
+
+    g, h = slopes()
+    _, i, j = max((corner(i, j, g, h)[0], i, j) for i in range(3) for j in range(i + 1, 3))
+    for _ in range(2):
+        _, parts, leaves = corner(i, j, *slopes())
+        for p, v in zip(parts, leaves):
+            for r in p:
+                f[r] += quality.RATE * v
+    assert list(model.pairs) == [(i, j)]
+    assert np.allclose(model.score(x), [1 / (1 + np.exp(-v)) for v in f], atol=1e-9)
+    assert ((model.score(x) > 0.5) == (y > 0)).mean() > 0.7
+
+
+def test_toxicity_equals_a_plain_fit(monkeypatch):
+    """The same ratios and steps with plain loops and dictionaries."""
+    monkeypatch.setattr(toxicity, "STEPS", 5)
+    monkeypatch.setattr(toxicity, "LEAST_DOCS", 2)
+    docs = [["vile", "rat"], ["vile", "hat"], ["rat", "hate"], ["good", "day"], ["fine", "hat"], ["good", "cat"], [], ["day"]]
+    y, w = np.array([1, 1, 1, 0, 0, 0, 0, 0.0]), np.array([1, 1, 1, 2, 2, 2, 2, 2.0])
+    model = toxicity.fit(docs, y, w)
+    held = [sorted({f"^{x}$"[k : k + n] for x in d for n in (3, 4, 5) for k in range(len(x) + 3 - n)}) for d in docs]
+    names = sorted({g for h in held for g in h})
+    p = {g: sum(g in h for h, v in zip(held, y) if v) for g in names}
+    q = {g: sum(g in h for h, v in zip(held, y) if not v) for g in names}
+    ratio = {g: np.log((p[g] + 0.5) / 4) - np.log((q[g] + 0.5) / 6) for g in names if p[g] + q[g] >= 2}
+    weight = w / w.mean()
+    share = (weight * y).mean()
+    bias, beta = np.log(share / (1 - share)), dict.fromkeys(ratio, 0.0)
+    m1, m2 = dict.fromkeys([*ratio, None], 0.0), dict.fromkeys([*ratio, None], 0.0)
+    for step in range(1, 6):
+        e = [v * (1 / (1 + np.exp(-(bias + sum(beta[g] * ratio[g] for g in h if g in ratio)))) - t) for h, t, v in zip(held, y, weight)]
+        grad = {g: sum(x * ratio[g] for x, h in zip(e, held) if g in h) / len(y) + toxicity.PENALTY * beta[g] for g in ratio} | {None: np.mean(e)}
+        for g, v in grad.items():
+            m1[g], m2[g] = 0.9 * m1[g] + 0.1 * v, 0.999 * m2[g] + 0.001 * v * v
+            d = toxicity.RATE * (m1[g] / (1 - 0.9**step)) / (np.sqrt(m2[g] / (1 - 0.999**step)) + 1e-8)
+            if g is None:
+                bias -= d
+            else:
+                beta[g] -= d
+    effect = {g: beta[g] * ratio[g] for g in ratio if abs(beta[g] * ratio[g]) >= toxicity.LEAST_EFFECT}
+    assert effect and set(effect) == set(model.weights) and np.allclose([effect[g] for g in effect], [model.weights[g] for g in effect])
+    f = np.array([sum(effect.get(g, 0) for g in h) for h in held])
+    low, high = -20.0, 20.0
+    for _ in range(60):  # the constant by bisection
+        mid = (low + high) / 2
+        low, high = (mid, high) if (weight * (1 / (1 + np.exp(-(mid + f))) - y)).sum() < 0 else (low, mid)
+    assert np.allclose([model.score(" ".join(d)) for d in docs], 1 / (1 + np.exp(-(low + f))), atol=1e-6)
+
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -370,6 +537,9 @@ def test_held_out_accuracy(spark):
     q = queries.op2_quality(spark, SF).toPandas().merge(marks, on="doc_id")
     x = q[q.held_out]
     assert len(x) == 0 or (x.predicted == x.quality).mean() >= 0.8
+    t = queries.op4_toxicity(spark, SF).toPandas().merge(marks, on="doc_id")
+    x = t[t.held_out]
+    assert len(x) == 0 or (x.predicted == x.toxic).mean() >= 0.8
     p = queries.op10_language(spark, SF).toPandas().merge(docs, on="doc_id")
     assert (p[p.held_out].lang == p[p.held_out].lang_pred).mean() >= 0.9
     assert isinstance(q, pd.DataFrame)
