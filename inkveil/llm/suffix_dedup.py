@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkveil.llm import rolling
-from inkveil.llm.common import fresh_path, materialize, open_fs, part_files
+from inkveil.llm.common import fresh_path, materialize, open_fs, part_files, release_memory
 
 WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM  # bytes before an anchor that its windows reach
@@ -54,8 +54,8 @@ HOT = 1000
 #: Contexts that a task sorts together: whole groups.
 POOL_ROWS = 10_000
 BATCH_BYTES = 1 << 18
-#: Documents of a chunk file at most.
-CHUNK_ROWS = 5_000
+#: Documents of a chunk file at most, and bytes of text that it has on average at most.
+CHUNK_ROWS, CHUNK_BYTES = 5_000, 32 << 20
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -284,7 +284,9 @@ class Corpus:
         self.spark: SparkSession = df.sparkSession
         self.text_col, self.id_col = text_col, id_col
         path = fresh_path(self.spark, "repeat-texts")
-        df.write.option("maxRecordsPerFile", CHUNK_ROWS).parquet(path)
+        size = F.octet_length(text_col).cast("long")
+        mean = df.agg((F.sum(size) / F.greatest(F.count("*"), F.lit(1))).alias("m")).first()["m"] or 1
+        df.write.option("maxRecordsPerFile", max(1, min(CHUNK_ROWS, int(CHUNK_BYTES / mean)))).parquet(path)
         self.files = part_files(self.spark, path)
         self.schema = df.schema
         stored = self.spark.read.schema(df.schema).parquet(path)
@@ -319,7 +321,9 @@ class Corpus:
             row, number = by[1]
             order = np.empty(len(row), np.int64)
             order[row] = number
-            return work(int(pdf["chunk"].iloc[0]), order, by)
+            out = work(int(pdf["chunk"].iloc[0]), order, by)
+            release_memory()
+            return out
 
         return incoming.repartition(max(1, len(self.files)), "chunk").groupBy("chunk").applyInPandas(run, schema)
 
@@ -337,6 +341,7 @@ def _repeated_grams(corpus: Corpus) -> DataFrame:
                 if grams:
                     key, n = np.unique(np.concatenate(grams), return_counts=True)
                     yield pd.DataFrame({"gram": key.view(np.int64), "chunk": np.int32(chunk), "many": n > 1})
+        release_memory()
 
     n = max(1, len(files))
     # a gram has a row for each chunk at most
@@ -515,6 +520,7 @@ def _compared(corpus: Corpus, members: DataFrame) -> DataFrame:
                 yield _solve(pdf.iloc[:cut], bits)
         if sum(map(len, held)):
             yield _solve(pd.concat(held, ignore_index=True), bits)
+        release_memory()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     solved = pool.repartition(parts, "core", "tail").sortWithinPartitions("core", "tail", "place").mapInPandas(solve, "chunk int, number long, start long, end long")
@@ -606,7 +612,10 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table with repeated bytes taken out of its texts; texts that lose all go."""
+    """The table with repeated bytes taken out of its texts; texts that lose all go.
+
+    Where a cut goes through a character, what is left of it is no UTF-8 and goes too.
+    """
     names = df.columns
     plain = df.toDF(*[f"c{k}" for k in range(len(names))])
     i, t = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
