@@ -3,7 +3,8 @@
 Two codebooks, one for each half of the normalised vectors, are fitted on a
 bounded sample; their product is a grid of cells.  Every vector is filed under its
 home cell and visits cells in ascending distance by multi-sequence traversal,
-until its distance passes that of the nearest cell by a margin.  The margin is
+until its distance passes that of the nearest cell by a margin.  The grid grows with
+the rows of a label, so cells keep their size.  The margin is
 measured: a bounded set of queries is held against all rows by brute force, and
 the margin is what the target recall needs of the pairs of every one of them, and
 of pairs made at the threshold around sampled rows.  Cells are
@@ -19,7 +20,6 @@ Vectors of different widths do not link.  An empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import materialize
+from inkveil.llm.common import materialize, release_memory
 from inkveil.llm.components import connected_components
 from inkveil.llm.vectors import usable
 
 #: Vectors that codebooks are fitted on; queries that measure recall; its target.
 SAMPLE, QUERIES, TARGET = 8192, 1024, 0.9995
-#: Rows that a cell is to hold, codewords of one half at most, rows of a tile's side.
-CELL_ROWS, MAX_WORDS, TILE = 16, 256, 128
+#: Rows that a cell is to hold, rows of a tile's side, sampled vectors that a codeword is fitted on.
+CELL_ROWS, TILE, WORD_ROWS = 16, 128, 32
 BINS, SPAN = 512, 4.0
 #: Share that is put on top of the measured margin.
 SLACK = 0.25
@@ -87,24 +87,31 @@ class MultiIndex:
         """The margin at which one of two rows visits the other's home; that finds their link."""
         return np.minimum(self.excess(q, self.home(u)), self.excess(u, self.home(q)).T)
 
-    def visits(self, x: np.ndarray) -> list[list[int]]:
-        """Cells of each row in ascending distance, up to the margin (multi-sequence)."""
+    def visits(self, x: np.ndarray) -> list[np.ndarray]:
+        """Cells of each row in ascending distance, up to the margin (multi-sequence).
+
+        The halves' distances are two sorted sequences a row; all rows step through the
+        first together, each step taking the run of the second that is still near enough.
+        """
         a, b = self.halves(x)
         oa, ob = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
         da, db = np.take_along_axis(a, oa, 1), np.take_along_axis(b, ob, 1)
-        out, wide = [], len(self.second)
-        for pa, pb, ia, ib in zip(da.tolist(), db.tolist(), oa.tolist(), ob.tolist()):
-            least = pa[0] + pb[0]
-            heap, seen, found = [(least, 0, 0)], {(0, 0)}, []
-            while heap and heap[0][0] <= least + self.margin:
-                _, i, j = heapq.heappop(heap)
-                found.append(ia[i] * wide + ib[j])
-                for n in ((i + 1, j), (i, j + 1)):
-                    if n[0] < len(pa) and n[1] < len(pb) and n not in seen:
-                        seen.add(n)
-                        heapq.heappush(heap, (pa[n[0]] + pb[n[1]], *n))
-            out.append(found)
-        return out
+        limit = da[:, 0] + db[:, 0] + self.margin
+        db = db[:, : int((db <= (limit - da[:, 0])[:, None]).sum(1).max(initial=1))]
+        owner, cells, far = [], [], []
+        live = np.arange(len(x))
+        for i in range(da.shape[1]):
+            live = live[da[live, i] + db[live, 0] <= limit[live]]
+            if not len(live):
+                break
+            row, j = np.nonzero(da[live, i, None] + db[live] <= limit[live, None])
+            row = live[row]
+            owner.append(row)
+            cells.append(oa[row, i] * len(self.second) + ob[row, j])
+            far.append(da[row, i] + db[row, j])
+        owner, cells, far = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (owner, cells, far))
+        by = np.lexsort((far, owner))
+        return np.split(cells[by], np.searchsorted(owner[by], np.arange(1, len(x)))) if len(x) else []
 
 
 def _bins(excess: np.ndarray) -> np.ndarray:
@@ -117,13 +124,17 @@ def _sample(classes: DataFrame, n: int, most: int, salt: int) -> pd.DataFrame:
     return picked.select("label", "rep", "vh", "v").limit(2 * most).toPandas()
 
 
-def build_index(classes: DataFrame, n: int, labels: int, width: int, threshold: float) -> MultiIndex:
-    """Fits the codebooks and measures the margin for vectors of one width."""
+def build_index(classes: DataFrame, n: int, mates: float, width: int, threshold: float) -> MultiIndex:
+    """Fits the codebooks and measures the margin for vectors of one width.
+
+    ``mates`` is how many rows have the label of a row on average; the grid grows with
+    it, so that cells keep their size, and the sample grows with the square root of it.
+    """
     same = classes.filter(F.size("v") == width)
-    sample = _sample(same, n, SAMPLE, 1)
+    words = max(1, round((mates / CELL_ROWS) ** 0.5))
+    sample = _sample(same, n, max(SAMPLE, WORD_ROWS * words), 1)
     x = _unit(sample["v"].tolist())
     half = width // 2
-    words = int(np.clip(round((n / max(1, labels) / CELL_ROWS) ** 0.5), 1, MAX_WORDS))
     index = MultiIndex(fit_codebook(x[:, :half], words), fit_codebook(x[:, half:], words))
     queries = _sample(same, n, QUERIES, 2)
     by_label, first = {}, 0
@@ -199,10 +210,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     classes = rows.filter("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("cnt"))
     classes = materialize(classes.withColumn("vh", F.xxhash64("v")), "vector-classes")
-    shapes = classes.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).collect()
+    n = F.col("n")
+    shapes = classes.groupBy(F.size("v").alias("w"), "label").agg(F.count("*").alias("n")).groupBy("w").agg(F.sum(n).alias("n"), (F.sum(n.cast("double") * n) / F.sum(n)).alias("mates")).collect()
     found = None
     for s in shapes:
-        part = _links(classes.filter(F.size("v") == s["w"]), build_index(classes, s["n"], s["labels"], s["w"], threshold), threshold)
+        part = _links(classes.filter(F.size("v") == s["w"]), build_index(classes, s["n"], s["mates"], s["w"], threshold), threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "rep long, vh long, n long, root long")
@@ -216,29 +228,59 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     return mine.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def held_out_recall(df: DataFrame, found: DataFrame, threshold: float = 0.93, most: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> float:
+    """The share of links that ``found`` has of sampled rows, which no margin was set by, held against all rows."""
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
+    fine = rows.filter(usable(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
+    n = max(1, fine.count())
+    queries = fine.filter(F.pmod(F.xxhash64("vec_id", F.lit(77)), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))).limit(2 * most).toPandas()
+    groups = {(k, w): (g["vec_id"].to_numpy(), _unit(g["v"].tolist())) for (k, w), g in queries.groupby(["label", queries["v"].map(len)])}
+    sent = df.sparkSession.sparkContext.broadcast(groups)
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for (label, wide), g in pdf.groupby(["label", pdf["v"].map(len)]):
+                ids, q = sent.value.get((label, wide), (None, None))
+                if q is not None:
+                    for k in range(0, len(g), 4096):
+                        part = g.iloc[k : k + 4096]
+                        links = (q @ _unit(part["v"].tolist()).T >= threshold) & (ids[:, None] != part["vec_id"].to_numpy()[None, :])
+                        yield pd.DataFrame({"vec_id": ids, "n": links.sum(1)})
+
+    want = fine.select("vec_id", "label", "v").mapInPandas(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    row = want.join(found.select("vec_id", "n_links"), "vec_id").agg(F.sum(F.least("n", "n_links")).alias("got"), F.sum("n").alias("n")).first()
+    sent.destroy()
+    return row["got"] / row["n"] if row["n"] else 1.0
+
+
 def _links(classes: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
     spark = classes.sparkSession
-    sent = spark.sparkContext.broadcast(index)  # codebooks: at most 2 * MAX_WORDS vectors
+    sent = spark.sparkContext.broadcast(index)  # codebooks, of the square root of the rows
 
     def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for k in range(0, len(pdf), 4096):
-                part = pdf.iloc[k : k + 4096].copy()
+            for k in range(0, len(pdf), 1024):
+                part = pdf.iloc[k : k + 1024].copy()
                 part["visits"] = sent.value.visits(_unit(part["v"].tolist()))
                 part["home"] = [p[0] for p in part["visits"]]
                 yield part
+        release_memory()
 
     plain = classes.select("label", "rep", "vh", "cnt", "v")
-    filed = plain.mapInPandas(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", visits array<int>, home int")
-    visits = materialize(filed, "vector-cells").withColumn("cell", F.explode("visits"))
-    sizes = visits.groupBy("label", "cell").agg(F.count("*").alias("nv"), F.count(F.when(F.col("cell") == F.col("home"), 1)).alias("nb"))
-    sizes = materialize(sizes.filter("nb > 0"), "cell-sizes")
-    rows = visits.join(sizes, ["label", "cell"])
+    filed = plain.mapInPandas(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", visits array<long>, home long")
+    filed = materialize(filed, "vector-cells")
+    # which visits meet anyone is settled on narrow rows; vectors travel once a visit that does
+    narrow = filed.select("label", "rep", "vh", "home", F.explode("visits").alias("cell"))
+    homes = filed.groupBy("label", F.col("home").alias("cell")).agg(F.count("*").alias("nb"))
+    met = narrow.join(homes, ["label", "cell"])
+    guests_of = met.groupBy("label", "cell").agg(F.count("*").alias("nv"))
+    met = met.join(guests_of, ["label", "cell"]).groupBy("rep", "vh").agg(F.collect_list(F.struct("cell", "nb", "nv")).alias("met"))
+    rows = filed.join(met, ["rep", "vh"]).withColumn("m", F.explode("met")).select("label", "rep", "vh", "cnt", "v", "visits", "home", "m.cell", "m.nb", "m.nv")
     ways = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     side = lambda c, salt: F.pmod(F.xxhash64("rep", "vh", F.lit(salt)), ways(c)).cast("int")
     keep = ["label", "cell", "rep", "vh", "cnt", "v", "visits", "home"]
     # a tile reads the visits of hosts only
-    guests = rows.withColumn("visits", F.lit(None).cast("array<int>")).select(*keep, F.lit(False).alias("base"), side("nv", 3).alias("vt"), F.explode(F.sequence(F.lit(0), ways("nb") - 1)).alias("bt"))
+    guests = rows.withColumn("visits", F.lit(None).cast("array<long>")).select(*keep, F.lit(False).alias("base"), side("nv", 3).alias("vt"), F.explode(F.sequence(F.lit(0), ways("nb") - 1)).alias("bt"))
     hosts = rows.filter("cell = home").select(*keep, F.lit(True).alias("base"), side("nb", 4).alias("bt"), F.explode(F.sequence(F.lit(0), ways("nv") - 1)).alias("vt"))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:

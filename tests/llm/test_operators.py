@@ -260,6 +260,25 @@ def test_embeddings_equal_brute_force(spark):
     found = sum(got[r[0]]["n_links"] for r in rows) / link.sum()
     assert 0.97 <= found <= 1.0
     assert all(got[r[0]]["n_links"] <= n for r, n in zip(rows, link.sum(1)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert embedding_dedup.held_out_recall(df, embedding_dedup.near_duplicates(df)) >= 0.97
+
+
+def test_visits_equal_a_heap():
+    import heapq
+
+    rng = np.random.default_rng(2)
+    index = embedding_dedup.MultiIndex(rng.standard_normal((7, 3)), rng.standard_normal((5, 3)))
+    x = rng.standard_normal((40, 6))
+    a, b = index.halves(x)
+    for index.margin in (0.0, 1.5, 100.0):
+        for row, cells in enumerate(index.visits(x)):
+            heap = [(a[row, i] + b[row, j], i * 5 + j) for i in range(7) for j in range(5)]
+            heapq.heapify(heap)
+            least, want = heap[0][0], []
+            while heap and heap[0][0] <= least + index.margin:
+                want.append(heapq.heappop(heap)[1])
+            assert cells.tolist() == want
 
 
 def test_embeddings_beside_a_hot_group(spark):
