@@ -283,23 +283,56 @@ def _links(classes: DataFrame, index: MultiIndex, threshold: float) -> DataFrame
     guests = rows.withColumn("visits", F.lit(None).cast("array<long>")).select(*keep, F.lit(False).alias("base"), side("nv", 3).alias("vt"), F.explode(F.sequence(F.lit(0), ways("nb") - 1)).alias("bt"))
     hosts = rows.filter("cell = home").select(*keep, F.lit(True).alias("base"), side("nb", 4).alias("bt"), F.explode(F.sequence(F.lit(0), ways("nv") - 1)).alias("vt"))
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, g = pdf[pdf["base"]], pdf[~pdf["base"]]
+    def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in it:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            cut = _tile_cuts(pdf)
+            if len(cut):
+                yield _tiles(pdf.iloc[: cut[-1]], np.r_[0, cut], threshold)
+            rest = pdf.iloc[cut[-1] :] if len(cut) else pdf
+        if rest is not None and len(rest):
+            yield _tiles(rest, np.array([0, len(rest)]), threshold)
+        release_memory()
+
+    tile = ["label", "cell", "bt", "vt"]
+    sides = guests.unionByName(hosts).repartition(*tile).sortWithinPartitions(*tile)
+    return sides.mapInPandas(compare, "rep long, vh long, n long, root long")
+
+
+def _tile_cuts(pdf: pd.DataFrame) -> np.ndarray:
+    """Where tiles of a sorted frame end, but for the last."""
+    new = np.zeros(max(0, len(pdf) - 1), bool)
+    for c in ("label", "cell", "bt", "vt"):
+        v = pdf[c].to_numpy()
+        new |= v[1:] != v[:-1]
+    return np.flatnonzero(new) + 1
+
+
+def _tiles(pdf: pd.DataFrame, cuts: np.ndarray, threshold: float) -> pd.DataFrame:
+    """(rep, vh, n, root): links counted, and edges that connect what they link, of tiles that end at the cuts."""
+    x, base = _unit(pdf["v"].tolist()), pdf["base"].to_numpy()
+    rep, vh, cnt, home, visits = (pdf[c].to_numpy() for c in ("rep", "vh", "cnt", "home", "visits"))
+    counted, edges = [], []
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        own = base[a:z]
+        b, g = a + np.flatnonzero(own), a + np.flatnonzero(~own)
         if not len(b) or not len(g):
-            return pd.DataFrame({"rep": [], "vh": [], "n": [], "root": []})
-        linked = _unit(g["v"].tolist()) @ _unit(b["v"].tolist()).T >= threshold
-        linked &= (g["rep"].to_numpy()[:, None] != b["rep"].to_numpy()) | (g["vh"].to_numpy()[:, None] != b["vh"].to_numpy())
+            continue
+        linked = x[g] @ x[b].T >= threshold
+        linked &= (rep[g, None] != rep[b]) | (vh[g, None] != vh[b])
         if not linked.any():
-            return pd.DataFrame({"rep": [], "vh": [], "n": [], "root": []})
+            continue
         # a guest counts its hosts; a host counts guests whose home it does not visit itself
-        known = [set(p) for p in b["visits"]]
-        unseen = np.array([[h not in p for p in known] for h in g["home"]])
-        for_guest, for_host = linked @ b["cnt"].to_numpy(), (linked & unseen).T @ g["cnt"].to_numpy()
-        node, root = _forest(linked, g["rep"].to_numpy(), b["rep"].to_numpy())
-        counts = pd.DataFrame({"rep": np.r_[g["rep"], b["rep"]], "vh": np.r_[g["vh"], b["vh"]], "n": np.r_[for_guest, for_host], "root": None})
-        edges = pd.DataFrame({"rep": node, "vh": 0, "n": 0, "root": root})
-        out = pd.concat([counts[counts["n"] > 0], edges.astype({"root": object})])
-        out["root"] = out["root"].astype("Int64")
-        return out
-
-    return guests.unionByName(hosts).groupBy("label", "cell", "bt", "vt").applyInPandas(tile, "rep long, vh long, n long, root long")
+        unseen = np.column_stack([~np.isin(home[g], visits[k]) for k in b])
+        counted += [(rep[g], vh[g], linked @ cnt[b]), (rep[b], vh[b], (linked & unseen).T @ cnt[g])]
+        edges.append(_forest(linked, rep[g], rep[b]))
+    if not counted:
+        return pd.DataFrame({"rep": [], "vh": [], "n": [], "root": []})
+    r, v, n = (np.concatenate(c) for c in zip(*counted))
+    node, root = (np.concatenate(c) for c in zip(*edges))
+    some = n > 0
+    nothing = np.zeros(len(node), np.int64)
+    out = pd.DataFrame({"rep": np.r_[r[some], node], "vh": np.r_[v[some], nothing], "n": np.r_[n[some], nothing]})
+    out["root"] = pd.array([None] * int(some.sum()) + root.tolist(), "Int64")
+    return out
