@@ -169,19 +169,58 @@ def redacted_filename(name: Column, unverified: bool = False) -> Column:
 # -- preview -----------------------------------------------------------------------------------
 
 
+SPAN = "array<struct<start:int,size:int,ord:int,end:int,id:string,selected:boolean>>"
+
+
+def _span(start: Column, end: Column, m: Column) -> Column:
+    """Sorts by start, then the longest first, then order."""
+    return F.struct(start.alias("start"), (start - end).alias("size"), m["ord"].alias("ord"), end.alias("end"), m["id"].alias("id"), m["selected"].alias("selected"))
+
+
+def _places(text: Column, literal: Column) -> Column:
+    """Where a literal starts, overlaps included."""
+    all_ = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - F.length(literal)))
+    return F.when(text.contains(literal) & (literal != ""), F.filter(all_, lambda k: F.substring(text, k + 1, F.length(literal)) == literal)).otherwise(F.array().cast("array<int>"))
+
+
+def _apart(spans: Column) -> Column:
+    """Of sorted spans those that start where the last kept one has ended."""
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPAN), lambda acc, s: F.when(s["start"] >= last(acc), F.array_append(acc, s)).otherwise(acc))
+
+
+def _found_marks(text: Column, marks: Column) -> Column:
+    """Spans of the marks' texts; marks without any are looked for in the normalised text."""
+    raw = F.flatten(F.transform(marks, lambda m: F.transform(_places(text, m["text"]), lambda k: _span(k, k + F.length(m["text"]), m))))
+
+    def with_normalised(first: Column) -> Column:
+        seen = F.transform(first, lambda s: s["id"])
+        rest = F.filter(marks, lambda m: ~F.array_contains(seen, m["id"]))
+
+        def spans(n: Column) -> Column:
+            at = lambda k: F.element_at(n["offsets"], k + 1)
+            of = lambda m: F.transform(_places(n["norm"], T.normalize(m["text"])), lambda k: _span(at(k), at(k + F.length(T.normalize(m["text"]))), m))
+            return F.flatten(F.transform(rest, of))
+
+        more = T.let(F.struct(T.normalize(text).alias("norm"), T.original_offsets(text).alias("offsets")), spans)
+        return F.when(F.size(rest) == 0, first).otherwise(_apart(F.concat(first, more)))
+
+    return T.let(_apart(raw), with_normalised)
+
+
 def preview_marks(text: Column, marks: Column) -> Column:
     """array<struct<start, end, id, selected>> that do not overlap.
 
     ``marks``: array<struct<text, id, selected>>.  All occurrences, also overlapping
-    ones, are laid out by start, then longest, then order; selected candidates go
-    first over others, and the first that fits stays.
+    ones, are laid out by start, then longest, then order, and the first that fits
+    stays; a mark of which none stays is looked for in the normalised text.  Selected
+    marks are laid out first, and others stay where they meet none of them.
     """
-    places = lambda m: F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - F.length(m["text"]))), lambda k: F.substring(text, k + 1, F.length(m["text"])) == m["text"])
-    spans = F.flatten(F.transform(F.filter(marks, lambda m: m["text"] != ""), lambda m, i: F.transform(places(m), lambda k: F.struct((~m["selected"]).alias("late"), k.alias("start"), (-F.length(m["text"])).alias("size"), i.alias("ord"), m["id"].alias("id"), m["selected"].alias("selected")))))
-    kind = "array<struct<late:boolean,start:int,size:int,ord:int,id:string,selected:boolean>>"
-    kept = F.aggregate(F.array_sort(spans), F.array().cast(kind), lambda acc, s: F.when(F.exists(acc, lambda o: (o["start"] < s["start"] - s["size"]) & (s["start"] < o["start"] - o["size"])), acc).otherwise(F.array_append(acc, s)))
-    flat = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["size"]).alias("end"), s["id"].alias("id"), s["selected"].alias("selected")))
-    return F.array_sort(flat)
+    numbered = F.transform(F.coalesce(marks, F.array().cast("array<struct<text:string,id:string,selected:boolean>>")), lambda m, i: F.struct(m["text"].alias("text"), m["id"].alias("id"), m["selected"].alias("selected"), i.alias("ord")))
+    chosen, others = _found_marks(text, F.filter(numbered, lambda m: m["selected"])), _found_marks(text, F.filter(numbered, lambda m: ~m["selected"]))
+    meets = lambda s, c: F.exists(c, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    both = T.let(F.struct(chosen.alias("c"), others.alias("o")), lambda v: F.array_sort(F.concat(v["c"], F.filter(v["o"], lambda s: ~meets(s, v["c"])))))
+    return F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["id"].alias("id"), s["selected"].alias("selected")))
 
 
 def preview_segments(text: Column, marks: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from inkveil.functions import lexicon as L
 from inkveil.functions import text as T
 from inkveil.operators import detect as D
-from inkveil.operators import policy, propagate
+from inkveil.operators import policy, propagate, session
 from inkveil.operators import redact as R
 from inkveil.operators import targets as G
 from inkveil.operators import verify as V
@@ -240,7 +240,7 @@ query("heuristic_quoted_term", f"""SELECT doc_id, q AS text, 0.6::DOUBLE AS conf
 WHERE NOT ({O.in_list('lower(q)', L.ROLES_EN)}) AND NOT ({O.in_list('q', L.ROLES_KO)}) GROUP BY ALL""")(_heuristic("quoted-term", documents))
 query("heuristic_repeatability", f"""SELECT doc_id, hit AS text, 0.5::DOUBLE AS confidence, 1::BIGINT AS n FROM {O.scan(O.prepared(DOCUMENTS), r'[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}', 'A-Za-z', 'A-Za-z')} s
 WHERE NOT ({O.in_list('lower(hit)', L.ROLES_EN)}) GROUP BY doc_id, hit HAVING count(*) >= {D.LEAST_REPEATS}""")(_heuristic("repeatability", documents))
-query("heuristic_email_domain_inference")(_heuristic("email-domain-inference", contracts, rules=(BY_ID["identifiers.email"],)))
+query("heuristic_email_domain_inference", """SELECT 2 * c_custkey AS doc_id, 'Acme' || CASE WHEN c_custkey % 3 = 0 THEN '–' ELSE ' ' END || c_custkey AS text, CASE WHEN c_custkey % 3 = 0 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence, 1::BIGINT AS n FROM customer""")(_heuristic("email-domain-inference", contracts, rules=(BY_ID["identifiers.email"],)))
 
 
 @query("suggest_keywords")
@@ -397,7 +397,11 @@ def definition_clauses(spark, sf_dir):
     return rows.select("doc_id", "c.literal", "c.defined", "c.source")
 
 
-@query("propagate_variants")
+#: The forms of a name that the English contracts have; every third of them has the whole name.
+_FORMS = "SELECT 2 * c_custkey AS doc_id, unnest(CASE WHEN c_custkey % 3 = 0 THEN [['Acme Holdings Corp', '1'], ['Acme', '3'], ['Acme Corp', '1']] ELSE [['Acme', '3'], ['Acme Corp', '1']] END) AS f, generate_subscripts(CASE WHEN c_custkey % 3 = 0 THEN [1, 2, 3] ELSE [1, 2] END, 1) - 1 AS ord FROM customer"
+
+
+@query("propagate_variants", f"SELECT doc_id, ord, f[1] AS text, 'literal' AS kind, f[2]::INT AS count FROM ({_FORMS}) f")
 def propagate_variants(spark, sf_dir):
     text = F.col("text")
     groups = propagate.propagate(F.lit("Acme Holdings Corp"), text, propagate.definition_clauses(text))
@@ -405,13 +409,106 @@ def propagate_variants(spark, sf_dir):
     return rows.select("doc_id", "ord", "v.text", "v.kind", "v.count")
 
 
-@query("propagated_targets")
+@query("propagated_targets", f"SELECT c.doc_id, coalesce(list(f[1] ORDER BY length(f[1]) DESC) FILTER (f IS NOT NULL), []) AS targets FROM ({CONTRACTS}) c LEFT JOIN ({_FORMS}) f ON f.doc_id = c.doc_id GROUP BY c.doc_id")
 def propagated_targets(spark, sf_dir):
     text = F.col("text")
     groups = propagate.propagate(F.lit("Acme Holdings Corp"), text, propagate.definition_clauses(text))
     return contracts(spark, sf_dir).select("doc_id", propagate.redaction_targets(groups, F.array(F.lit("Buyer"))).alias("targets"))
 
 
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two names that share forms, and a value that the English contracts define."""
+    k = F.floor(F.col("doc_id") / 2)
+    seeds = F.array(F.lit("Acme Holdings Corp"), F.lit("Acme Corp"), F.concat((1 + k % 30).cast("string"), F.lit(" Days")))
+    return contracts(spark, sf_dir).select("doc_id", F.posexplode(seeds).alias("seed_ord", "seed"))
+
+
+def _collected(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    rows = contracts(spark, sf_dir).select("doc_id", "text")
+    return session.collect_candidates(session.variant_groups(rows, _seeds(spark, sf_dir)), kind).filter(~F.col("text").rlike("^[0-9]")).select("doc_id", "text", "seed", "count")
+
+
+@query("collect_literal_candidates", f"SELECT doc_id, f[1] AS text, 'Acme Holdings Corp' AS seed, f[2]::INT AS count FROM ({_FORMS}) f")
+def collect_literal_candidates(spark, sf_dir):
+    return _collected(spark, sf_dir, "literal")
+
+
+@query("collect_defined_candidates", "SELECT 2 * c_custkey AS doc_id, 'Term' AS text, (1 + c_custkey % 30) || ' Days' AS seed, 1 AS count FROM customer")
+def collect_defined_candidates(spark, sf_dir):
+    return _collected(spark, sf_dir, "defined")
+
+
+# -- review sessions --------------------------------------------------------------------------------
+
+
+def _scoped_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts in two scopes: the body, and a header that repeats the first line."""
+    rows = contracts(spark, sf_dir)
+    body = rows.select("doc_id", F.lit(0).alias("scope_ord"), F.lit("body").alias("scope_kind"), F.lit("word/document.xml").alias("scope_path"), "text")
+    return body.unionByName(rows.select("doc_id", F.lit(1).alias("scope_ord"), F.lit("header").alias("scope_kind"), F.lit("word/header1.xml").alias("scope_path"), F.substring_index("text", "\n", 1).alias("text")))
+
+
+_ADDED = (("other", " Main Street "), ("legal", "Gamma Works"), ("other", "Gamma Works"), ("unknown", "nothing"), ("other", "  "))
+
+
+def _additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lawful texts for every contract, one of them in two categories, of which the last is not selected."""
+    entries = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(t).alias("text"), F.lit((c, t) != ("other", "Gamma Works")).alias("default_selected")) for c, t in _ADDED))
+    return contracts(spark, sf_dir).select("doc_id", F.explode(entries).alias("e")).select("doc_id", "e.*")
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[session.Analysis, DataFrame]:
+    found = session.analyze(_scoped_contracts(spark, sf_dir), _seeds(spark, sf_dir))
+    return session.merge_additions(found, G.default_selections(found.targets), _additions(spark, sf_dir))
+
+
+def _state(found: session.Analysis, chosen: DataFrame, *texts: str) -> DataFrame:
+    rows = found.targets.filter(F.col("text").isin(*texts)).join(chosen.withColumn("on", F.lit(True)), ["doc_id", "id"], "left")
+    return rows.select("doc_id", "text", "namespace", F.array_join("source_kinds", "+").alias("source_kinds"), "review_section", F.coalesce("on", F.lit(False)).alias("selected"))
+
+
+_EN = "doc_id % 2 = 0"
+
+
+@query("session_additions", f"""SELECT doc_id, 'Main Street' AS text, 'manual' AS namespace, 'manual' AS source_kinds, 'other' AS review_section, true AS selected FROM ({CONTRACTS}) a
+UNION ALL SELECT doc_id, 'Gamma Works', CASE WHEN {_EN} THEN 'auto' ELSE 'manual' END, CASE WHEN {_EN} THEN 'nonPii+manual' ELSE 'manual' END, CASE WHEN {_EN} THEN 'heuristics' ELSE 'legal' END, false FROM ({CONTRACTS}) b""")
+def session_additions(spark, sf_dir):
+    return _state(*_reviewed(spark, sf_dir), "Main Street", "Gamma Works")
+
+
+@query("session_removals", f"SELECT doc_id, 'Gamma Works' AS text, 'auto' AS namespace, 'nonPii' AS source_kinds, 'heuristics' AS review_section, false AS selected FROM ({CONTRACTS}) a WHERE {_EN}")
+def session_removals(spark, sf_dir):
+    """Gamma Works is selected again by hand, then both additions are taken back."""
+    found, chosen = _reviewed(spark, sf_dir)
+    flipped = session.toggle(chosen, found.targets.filter("text = 'Gamma Works'").select("doc_id", "id"))
+    gone = contracts(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("Main Street"), F.lit("Gamma Works"))).alias("text"))
+    return _state(*session.remove_additions(found, flipped, gone), "Main Street", "Gamma Works")
+
+
+@query("session_policies", f"""SELECT doc_id, e[1] AS category, e[2] AS text, e[3] = 'y' AS default_selected FROM (SELECT doc_id, unnest([['other', 'Main Street', 'y'], ['legal', 'Gamma Works', 'n'], ['other', 'Gamma Works', 'n']]) AS e FROM ({CONTRACTS}) a) b""")
+def session_policies(spark, sf_dir):
+    """Additions as they are now, through a policy file and back."""
+    found, chosen = _reviewed(spark, sf_dir)
+    files = session.export_policies(found, chosen, _additions(spark, sf_dir), "2024-01-01T00:00:00Z")
+    return session.import_policies(files)[0]
+
+
+@query("session_targets", f"""SELECT doc_id, 'Acme' AS text, 'literal' AS source_kinds, 'literals' AS review_section, true AS selected FROM ({CONTRACTS}) a WHERE {_EN}
+UNION ALL SELECT doc_id, 'Term', 'literal', 'defined', false FROM ({CONTRACTS}) b WHERE {_EN}""")
+def session_targets(spark, sf_dir):
+    """What the seeds add to the targets of a whole analysis."""
+    found = session.analyze(_scoped_contracts(spark, sf_dir), _seeds(spark, sf_dir))
+    return _state(found, G.default_selections(found.targets), "Acme", "Term", "Buyer").select("doc_id", "text", "source_kinds", "review_section", "selected")
+
+
+@query("session_redaction")
+def session_redaction(spark, sf_dir):
+    """Packages read, analysed, redacted by the default selection and verified."""
+    made = session.analyze_packages(packages(spark, sf_dir), _seeds(spark, sf_dir))
+    report = session.apply_redaction(made, G.default_selections(made.analysis.targets))[1]
+    return report.join(made.snapshot.stats, "doc_id").select("doc_id", "scope_count", "words_before", "words_after", "survived", "is_clean", "repaired", "outcome")
+
+
 # -- redaction and verification ------------------------------------------------------------------------
 
 _LITERALS = f"SELECT doc_id, list(DISTINCT text) AS literals, string_agg(DISTINCT regexp_escape(text), '|' ORDER BY length(regexp_escape(text)) DESC, regexp_escape(text)) AS pattern FROM ({_found(_UNIVERSAL, DOCUMENTS)}) f GROUP BY doc_id"
@@ -522,7 +619,13 @@ def redact_xml_steps(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(R.flatten_track_changes(xml).cast("binary"), 256).alias("flat"))
 
 
-@query("preview_segments")
+_MARKED = "'Acme Holdings|Acme|Buyer'"
+
+
+@query("preview_segments", f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS ord, CASE WHEN p % 2 = 0 THEN 'text' ELSE 'mark' END AS type, s AS text,
+CASE WHEN p % 2 = 1 THEN CASE s WHEN 'Acme Holdings' THEN 'auto:0' WHEN 'Acme' THEN 'auto:1' ELSE 'auto:3' END END AS id, CASE WHEN p % 2 = 1 THEN s = 'Acme Holdings' END AS selected
+FROM (SELECT doc_id, 2 * unnest(range(len(l))) AS p, unnest(l) AS s FROM (SELECT doc_id, string_split_regex(text, {_MARKED}) AS l FROM ({CONTRACTS}) a) x
+UNION ALL SELECT doc_id, 2 * unnest(range(len(l))) + 1, unnest(l) FROM (SELECT doc_id, regexp_extract_all(text, {_MARKED}) AS l FROM ({CONTRACTS}) b) y) z WHERE s <> ''""")
 def preview_segments(spark, sf_dir):
     marks = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(f"auto:{k}").alias("id"), F.lit(k % 2 == 0).alias("selected")) for k, t in enumerate(("Acme Holdings", "Acme", "Holdings Corp", "Buyer"))))
     rows = contracts(spark, sf_dir).select("doc_id", F.posexplode(V.preview_segments(F.col("text"), marks)).alias("ord", "s"))
