@@ -35,13 +35,3 @@ def expand(pattern: str) -> str:
             out.append(f"[^{LINE_ENDS}]" if c == "." and not inside else c)
             k += 1
     return "".join(out)
-
-
-def guarded(core: str, before: str = "", after: str = "") -> str:
-    """A core with classes of characters that may not stand next to it."""
-    return (f"(?<![{before}])" if before else "") + expand(core) + (f"(?![{after}])" if after else "")
-
-
-def quote(literal: str) -> str:
-    """A literal for use inside a pattern."""
-    return r"\Q" + literal.replace(r"\E", r"\E\\E\Q") + r"\E"

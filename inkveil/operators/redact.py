@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pandas as pd
@@ -159,55 +160,51 @@ def run_texts(paragraph: str) -> list[str]:
     return ["".join(decode_entities(t[1] or "") for t in TEXT_TAG.finditer(r[0])) for r in RUN_TAG.finditer(paragraph)]
 
 
+def _one_of(literals) -> re.Pattern | None:
+    """A pattern of any of the literals, the longest that fits first."""
+    ranked = sorted({x for x in literals if x}, key=lambda x: (-len(x), x))
+    return re.compile("|".join(map(re.escape, ranked))) if ranked else None
+
+
 class Matcher:
+    """Rewrites the runs of marked-up parts so that the literals are gone."""
+
     def __init__(self, literals, placeholder: str = PLACEHOLDER):
-        self.literals = sorted({x for x in literals if x}, key=lambda x: -len(x))
+        wanted = {x for x in literals if x}
         self.placeholder = placeholder
-        self.pattern = re.compile("|".join(map(re.escape, self.literals))) if self.literals else None
+        self.pattern = _one_of(wanted)
+        self.in_attribute = _one_of(wanted | {x.replace('"', "&quot;") for x in wanted})
 
     def paragraph(self, xml: str) -> str:
-        """A match's first run takes the placeholder, its last keeps what follows, those between empty."""
+        """The first character of a match becomes the placeholder, its others nothing, each in its own run."""
         runs = run_texts(xml)
-        found = list(self.pattern.finditer("".join(runs))) if self.pattern else []
-        if not found:
+        becomes = list("".join(runs))
+        spans = [m.span() for m in self.pattern.finditer("".join(becomes))]
+        if not spans:
             return xml
-        owner = [(k, j) for k, r in enumerate(runs) for j in range(len(r))]
-        for m in reversed(found):
-            (first, a), (last, z) = owner[m.start()], owner[m.end() - 1]
-            if first == last:
-                runs[first] = runs[first][:a] + self.placeholder + runs[first][z + 1 :]
-            else:
-                runs[first] = runs[first][:a] + self.placeholder
-                runs[first + 1 : last] = [""] * (last - first - 1)
-                runs[last] = runs[last][z + 1 :]
-        left = iter(runs)
-        return RUN_TAG.sub(lambda r: self._run(r[0], next(left)), xml)
+        for a, z in spans:
+            becomes[a:z] = [self.placeholder, *[""] * (z - a - 1)]
+        edges = [0, *itertools.accumulate(map(len, runs))]
+        texts = iter(["".join(becomes[a:z]) for a, z in itertools.pairwise(edges)])
+        return RUN_TAG.sub(lambda r: self._run(r[0], next(texts)), xml)
 
     def _run(self, run: str, text: str) -> str:
+        """A run with its text in the first text element, or in a new one at its end."""
         if "</w:r>" not in run:
             return run
-        filled = f'<w:t xml:space="preserve">{_encode(text)}</w:t>' if text else "<w:t/>"
-        new = iter([filled])
-        out, n = TEXT_TAG.subn(lambda _: next(new, "<w:t/>"), run)
-        return out if n or not text else run.replace("</w:r>", filled + "</w:r>", 1)
+        element = f'<w:t xml:space="preserve">{_encode(text)}</w:t>' if text else "<w:t/>"
+        elements = itertools.chain([element], itertools.repeat("<w:t/>"))
+        filled, there = TEXT_TAG.subn(lambda _: next(elements), run)
+        return filled if there or not text else run.replace("</w:r>", element + "</w:r>", 1)
 
     def instructions(self, xml: str) -> str:
-        def codes(m: re.Match) -> str:
-            s = m[2]
-            for x in self.literals:
-                s = s.replace(x, self.placeholder)
-            return m[1] + s + m[3]
-
-        def attributes(m: re.Match) -> str:
-            s = m[2]
-            for x in self.literals:
-                s = s.replace(x, self.placeholder).replace(x.replace('"', "&quot;"), self.placeholder)
-            return m[1] + s + m[3]
-
-        return SIMPLE_FIELD.sub(attributes, INSTRUCTION.sub(codes, xml))
+        """Literals in field codes, which stand as text or, with quotes encoded, as an attribute."""
+        for place, pattern in ((INSTRUCTION, self.pattern), (SIMPLE_FIELD, self.in_attribute)):
+            xml = place.sub(lambda m, pattern=pattern: m[1] + pattern.sub(lambda _: self.placeholder, m[2]) + m[3], xml)
+        return xml
 
     def scope(self, xml: str) -> str:
-        if not self.literals:
+        if self.pattern is None:
             return xml
         return self.instructions(PARAGRAPH_TAG.sub(lambda p: p[0] if p[0].endswith("/>") else self.paragraph(p[0]), xml))
 
@@ -222,24 +219,26 @@ def redact_scope_xml(xml: Column, literals: Column, placeholder: str = PLACEHOLD
     return run(xml, literals)
 
 
+RELATIONSHIP = re.compile(r'(<Relationship\b[^>]*\bTarget=")([^"]*)(")')
+
+
 def repair_rels(rels: Column, literals: Column, placeholder: str = PLACEHOLDER) -> Column:
     """Literals in decoded, double-quoted targets are replaced; then web addresses are emptied."""
-    target = re.compile(r'(<Relationship\b[^>]*\bTarget=")([^"]*)(")')
 
     @F.pandas_udf("string")
     def run(parts: pd.Series, wanted: pd.Series) -> pd.Series:
-        def one(x: str, literals) -> str:
-            ranked = sorted({v for v in literals if v}, key=lambda v: (-len(v), v))
+        def one(xml: str | None, literals) -> str | None:
+            pattern = None if xml is None or literals is None else _one_of(literals)
+            if pattern is None:
+                return xml
 
-            def fix(m: re.Match) -> str:
-                before = after = decode_repeatedly(m[2])
-                for v in ranked:
-                    after = after.replace(v, placeholder)
-                return m[0] if after == before else m[1] + _encode(after).replace('"', "&quot;") + m[3]
+            def target(m: re.Match) -> str:
+                said = decode_repeatedly(m[2])
+                return m[1] + _encode(pattern.sub(lambda _: placeholder, said)).replace('"', "&quot;") + m[3] if pattern.search(said) else m[0]
 
-            return target.sub(fix, x) if ranked else x
+            return RELATIONSHIP.sub(target, xml)
 
-        return pd.Series([None if x is None else one(x, [] if w is None else list(w)) for x, w in zip(parts, wanted)], dtype=object)
+        return pd.Series(list(map(one, parts, wanted)), dtype=object)
 
     return strip_external_urls(run(rels, literals))
 
@@ -252,6 +251,8 @@ def decode_xml(text: Column, repeatedly: bool = False) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else work(x))
 
-    return F.when(~text.contains("&"), text).otherwise(run(text))
-
-
+    named = text
+    for name in ("quot", "apos", "lt", "gt", "amp"):  # the ampersand last, so that nothing is decoded twice
+        named = F.replace(named, F.lit(f"&{name};"), F.lit(_NAMED[name]))
+    plain = F.when(text.contains("&"), named).otherwise(text)
+    return F.when(text.contains("&#") | (text.contains("&amp;#") if repeatedly else F.lit(False)), run(text)).otherwise(plain)

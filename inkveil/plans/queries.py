@@ -21,13 +21,13 @@ from inkveil.plans import oracle as O
 from inkveil.plans.fixtures import CONTRACTS, NOISY, contracts, noisy, table
 from inkveil.rules.registry import BY_ID, LEGACY, RULES, Rule
 from inkveil.sources import docx
-from inkveil.sources.shared import shared_path
+from inkveil.sources.shared import shared_path, written
 from inkveil.streaming import detect as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "redact_documents"
+FLAGSHIP = "redact_documents_whole"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -41,7 +41,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 DOCUMENTS = "SELECT doc_id, text FROM documents"
-TURNS = "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations"
+#: What every second turn says besides, so that there is something to find.
+SAID = "concat(text, CASE WHEN turn % 2 = 0 THEN concat(' (mail u', conv_id, '@acme.co.kr, paid $', turn, '.50 and 5%)') ELSE '' END)"
+TURNS = f"SELECT conv_id * 1000 + turn AS doc_id, {SAID} AS text FROM conversations"
 PAGES = "SELECT page_id AS doc_id, html AS text FROM pages"
 
 
@@ -161,7 +163,7 @@ def _corpus_query(load: Query, whole: bool = False) -> Query:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.expr(SAID).alias("text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,12 +269,12 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of some rules, those that the SQL of the folds has."""
     found = D.analyze_text(scoped(spark, sf_dir), "paranoid", rules=_FOLD_RULES, parsers=(), heuristics=())
     # several folds read these; detection runs once
-    return D.candidates(found, *_SCOPE).persist()
+    return written(D.candidates(found, *_SCOPE), "fold-findings")
 
 
 def whole_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Findings of all rules and heuristics, and definitions of all parsers, in the same rows."""
-    found = D.analyze_text(scoped(spark, sf_dir), "paranoid").select(*_SCOPE, "language", "candidates", "definitions").persist()
+    found = written(D.analyze_text(scoped(spark, sf_dir), "paranoid").select(*_SCOPE, "language", "candidates", "definitions"), "whole-findings")
     return D.candidates(found, *_SCOPE), D.definitions(found, *_SCOPE)
 
 
@@ -297,7 +299,7 @@ FROM (SELECT doc_id, text, CASE WHEN rule_id LIKE 'identifiers.%' THEN 2 WHEN mi
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = findings(spark, sf_dir)
-    return G.selection_targets(G.occurrences(G.fold_identifiers(found), G.fold_others(found))).persist()
+    return G.selection_targets(G.occurrences(G.fold_identifiers(found), G.fold_others(found)))
 
 
 @query("selection_targets", _TARGETS)
@@ -310,9 +312,21 @@ def selection_panel(spark, sf_dir):
     return G.panel(targets(spark, sf_dir)).select("doc_id", "review_section", "targets", "selected")
 
 
-@query("selection_collisions", f"SELECT doc_id, id, count(DISTINCT text) AS texts FROM ({_TARGETS}) t GROUP BY doc_id, id HAVING count(DISTINCT text) > 1")
+#: Words of which each two have the same 32-bit hash (fixed values).
+_ALIKE = ("costarring", "liquid", "declinate", "macallums")
+_COLLIDING = f"SELECT doc_id, id, text FROM ({_TARGETS}) t UNION ALL SELECT c_custkey, 'auto:' || lpad(lower(to_hex({_FNV.format(x='w')})), 8, '0'), w FROM (SELECT c_custkey, unnest([c_name, {', '.join(map(O.lit, _ALIKE))}]) AS w FROM customer WHERE c_custkey % 3 = 0) w"
+
+
+def _colliding(spark: SparkSession, found: DataFrame, sf_dir: str) -> DataFrame:
+    """Targets, and words with like hashes for every third customer."""
+    words = F.explode(F.array("c_name", *map(F.lit, _ALIKE)))
+    made = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("doc_id"), words.alias("text"))
+    return found.select("doc_id", "id", "text").unionByName(made.select("doc_id", T.target_id("auto", "text").alias("id"), "text"))
+
+
+@query("selection_collisions", f"SELECT doc_id, id, count(DISTINCT text) AS texts FROM ({_COLLIDING}) t GROUP BY doc_id, id HAVING count(DISTINCT text) > 1")
 def selection_collisions(spark, sf_dir):
-    return G.id_collisions(targets(spark, sf_dir))
+    return G.id_collisions(_colliding(spark, targets(spark, sf_dir), sf_dir))
 
 
 @query("selection_resolved", f"SELECT doc_id, id, text AS display_text, [text] AS redaction_literals FROM ({_TARGETS}) t")
@@ -329,7 +343,7 @@ def all_targets(spark, sf_dir):
 
 def whole_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, defined = whole_findings(spark, sf_dir)
-    return G.selection_targets(G.occurrences(G.fold_identifiers(found), G.fold_others(found, defined))).persist()
+    return G.selection_targets(G.occurrences(G.fold_identifiers(found), G.fold_others(found, defined)))
 
 
 @query("all_targets_whole")
@@ -359,7 +373,7 @@ def selection_panel_whole(spark, sf_dir):
 
 @query("selection_collisions_whole")
 def selection_collisions_whole(spark, sf_dir):
-    return G.id_collisions(whole_targets(spark, sf_dir))
+    return G.id_collisions(_colliding(spark, whole_targets(spark, sf_dir), sf_dir))
 
 
 @query("selection_resolved_whole")
@@ -708,7 +722,7 @@ def docx_sha256(spark, sf_dir):
 @query("stream_detect", f"SELECT conv_id, turn, rule_id, text, count(*) AS n FROM (SELECT doc_id // 1000 AS conv_id, doc_id % 1000 AS turn, rule_id, text FROM ({_found(_UNIVERSAL, TURNS)}) f) u GROUP BY ALL")
 def stream_detect(spark, sf_dir, whole=False):
     schema = table(spark, sf_dir, "conversations").schema
-    stream = S.stream_table(spark, f"{sf_dir}/conversations.parque[t]", schema)
+    stream = S.stream_table(spark, f"{sf_dir}/conversations.parque[t]", schema).withColumn("text", F.expr(SAID))
     found = D.candidates(_detected(stream, whole), "conv_id", "turn")
     out = shared_path(spark, "stream-out")
     S.run_to(found, out, shared_path(spark, "stream-state"))
