@@ -45,10 +45,10 @@ PICTOGRAPHS = (0x1F300, 0x1F64F)
 def _unsettled() -> str:
     """A character class of what tables of different age may class differently.
 
-    That is all but Unicode 3.2's characters of the basic plane and the pictographs,
-    for which tests hold the split against the library's, one by one.
+    That is all but Latin letters, Unicode 3.2's characters of the basic plane and the
+    pictographs, for which tests hold the split against the library's, one by one.
     """
-    new = [c for c in range(0x10000) if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
+    new = [c for c in range(0x250, 0x10000) if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
     cut = [k for k in range(1, len(new)) if new[k] != new[k - 1] + 1]
     runs = [(new[a], new[z - 1]) for a, z in zip([0, *cut], [*cut, len(new)])]
     runs += [(0x10000, PICTOGRAPHS[0] - 1), (PICTOGRAPHS[1] + 1, 0x10FFFF)]
@@ -75,7 +75,8 @@ class WordTokenizer:
         self.any_words, self.latin_words = regex.compile(SPLIT).findall, re.compile(LATIN_SPLIT).findall
         marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         # sigma has two small forms, and a dotted I becomes two characters
-        self.special = re.compile("|".join([*marks, f"[\u03a3\u0130{_unsettled()}]"])).search
+        self.special = re.compile("|".join([*marks, "[\u03a3\u0130]"])).search
+        self.unsettled = re.compile(f"[{_unsettled()}]").search
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -85,11 +86,12 @@ class WordTokenizer:
         out: list[bytes] = [b""] * len(texts)
         cut: list[tuple[int, list[str]]] = []
         for k, text in enumerate(texts):
-            if self.special(text) or not unicodedata.is_normalized("NFC", text):
+            latin = not not_latin(text)
+            if self.special(text) or not unicodedata.is_normalized("NFC", text) or not latin and self.unsettled(text):
                 out[k] = self._library([text])[0]
             else:
                 low = text.lower()
-                cut.append((k, self.any_words(low) if not_latin(low) else self.latin_words(low)))
+                cut.append((k, self.latin_words(low) if latin and not not_latin(low) else self.any_words(low)))
         get = self.cache.need(set().union(*(w for _, w in cut))).__getitem__
         for k, words in cut:
             out[k] = b"".join(map(get, words))
