@@ -73,25 +73,31 @@ class WordTokenizer:
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.cache = WordCache(self._library)
         self.any_words, self.latin_words = regex.compile(SPLIT).findall, re.compile(LATIN_SPLIT).findall
-        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # sigma has two small forms, and a dotted I becomes two characters
-        self.special = re.compile("|".join([*marks, "[\u03a3\u0130]"])).search
+        # added tokens; and sigma has two small forms, and a dotted I becomes two characters
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()], "\u03a3\u0130"
         self.unsettled = re.compile(f"[{_unsettled()}]").search
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
+    def _for_library(self, text: str) -> bool:
+        marks, letters = self.special
+        if any(m in text for m in marks):
+            return True
+        if text.isascii():
+            return False
+        return any(c in text for c in letters) or not unicodedata.is_normalized("NFC", text) or bool(not_latin(text) and self.unsettled(text))
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         cut: list[tuple[int, list[str]]] = []
         for k, text in enumerate(texts):
-            latin = not not_latin(text)
-            if self.special(text) or not unicodedata.is_normalized("NFC", text) or not latin and self.unsettled(text):
+            if self._for_library(text):
                 out[k] = self._library([text])[0]
             else:
                 low = text.lower()
-                cut.append((k, self.latin_words(low) if latin and not not_latin(low) else self.any_words(low)))
+                cut.append((k, self.any_words(low) if not_latin(low) else self.latin_words(low)))
         get = self.cache.need(set().union(*(w for _, w in cut))).__getitem__
         for k, words in cut:
             out[k] = b"".join(map(get, words))
