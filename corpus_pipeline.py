@@ -13,13 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import language, minhash_dedup, packing, quality, suffix_dedup
-from inkveil.llm.common import documents, id_fold, materialize, remove, small_batches, stage_folder, written
+from inkveil.llm.common import documents, id_fold, materialize, release_shuffles, remove, small_batches, stage_folder, written
 from inkveil.llm.queries import labels, vocabulary
 
 #: Least share of a document's words that its language must have.
 LANGUAGE_SHARE = 0.5
 
 
+def begin(spark: SparkSession) -> None:
+    """Small batches of texts, and no disk held by the shuffles of the stage before."""
+    small_batches(spark)
+    release_shuffles(spark)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters, null texts among them, and those in which no language holds half the words.
 
@@ -27,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay.  Each row is judged by its text alone: repeated rows stay or go together.  An
     empty table stays empty.
     """
-    small_batches(spark)
+    begin(spark)
     model = language.fit_on_documents(docs, id_fold(F.col("doc_id"), 5) != 0)
     if not model.languages:
         return docs
@@ -41,7 +47,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Where the labels hold no two classes, so that nothing can be learned, all documents
     stay.  Repeated rows stay or go together.  An empty table stays empty.
     """
-    small_batches(spark)
+    begin(spark)
     model = quality.fit_on_labels(docs, labels(spark, sf_dir), id_fold(F.col("doc_id"), 4) != 2)
     if not model.learned:
         return docs
@@ -55,7 +61,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts, which have no words.  Rows that repeat a kept identifier stay, but of those
     equal in identifier and text one.  An empty table stays empty.
     """
-    small_batches(spark)
+    begin(spark)
     found = materialize(minhash_dedup.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).filter("kept"), "kept-ids")
     once = docs.join(found.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     again = docs.join(found.filter("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
@@ -68,7 +74,7 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ``n_chars``, if there is one, is counted again.  Null and empty texts stay as they
     are; of repeated rows the first keeps its text.  An empty table stays empty.
     """
-    small_batches(spark)
+    begin(spark)
     out = suffix_dedup.without_repeats(docs)
     if "n_chars" in out.columns:
         kind = out.schema["n_chars"].dataType
@@ -78,7 +84,7 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences; null and empty texts are their end id alone."""
-    small_batches(spark)
+    begin(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=2)
 
 

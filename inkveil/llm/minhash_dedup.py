@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import rolling
-from inkveil.llm.common import materialize, release_memory
+from inkveil.llm.common import materialize, release_memory, release_shuffles
 from inkveil.llm.components import connected_components, forest
 
 BANDS, ROWS = 48, 6
@@ -326,6 +326,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     active = _mixed(buckets)
     if not active.isEmpty():
         sets = materialize(_full_sets(docs, active.select("cid", "rep").distinct(), words), "shingle-sets")
+        release_shuffles(df.sparkSession)  # texts and buckets
         sketches = classes.select("cid", "sketch")
         links = _confirmed(_with_pivots(active, sketches, limit), sets, percent)
         tree = connected_components(links)
@@ -340,6 +341,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     else:
         named = named.join(tree.withColumnRenamed("node", "rep"), "rep", "left").select("cid", F.coalesce("component", "rep").alias("component_id"))
     named = materialize(named.select("cid", "component_id"), "class-components")
+    release_shuffles(df.sparkSession)
     out = marks.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
