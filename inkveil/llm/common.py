@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -77,16 +76,6 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of plans that are no longer in use go now.
-
-    The cleaner deletes them once the driver has collected the plans, which it may put off
-    for half an hour: until then they lie on the executors' disks beside those of later steps.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def part_files(spark: SparkSession, path: str) -> list[str]:
     """URIs of a written table's files, sorted; one per writing task, so few."""
     p, fs = _hadoop(spark, path)
