@@ -37,8 +37,10 @@ def normalize(text: Column | str) -> Column:
 def original_offsets(text: Column | str) -> Column:
     """For each character of the normalised text its place in the original, and the end."""
     t = col(text)
+    # only zero-width characters move places
+    moved = t.rlike("[" + "".join(f"\\x{{{ord(c):X}}}" for c in L.ZERO_WIDTH) + "]")
     keep = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c, i: F.when(F.lit(L.ZERO_WIDTH).contains(c), F.lit(None).cast("int")).otherwise(i))
-    return F.array_append(F.array_compact(keep), F.length(t))
+    return F.when(moved, F.array_append(F.array_compact(keep), F.length(t))).otherwise(F.sequence(F.lit(0), F.length(t)))
 
 
 def original_slice(text: Column, offsets: Column, start: Column, end: Column) -> Column:
@@ -58,14 +60,16 @@ def nfc(text: Column | str) -> Column:
 
 
 def _count_of(text: Column, kept: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{kept}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{kept}]+", ""))
 
 
 def detect_language(text: Column | str) -> Column:
     """ko, en or mixed by the share of Hangul syllables among them and ASCII letters."""
     hangul, latin = _count_of(col(text), "가-힣"), _count_of(col(text), "A-Za-z")
     share = hangul / F.nullif(hangul + latin, F.lit(0))
-    return F.when(share > 0.6, "ko").when(share >= 0.2, "mixed").otherwise("en")
+    # letters are counted only where there is a syllable
+    counted = F.when(share > 0.6, "ko").when(share >= 0.2, "mixed").otherwise("en")
+    return F.when(col(text).rlike("[가-힣]"), counted).otherwise("en")
 
 
 def digits(text: Column) -> Column:
@@ -156,7 +160,8 @@ def count_bounded(text: Column, literal: Column) -> Column:
     before = F.when(F.substring(literal, 1, 1).rlike(word), f"(?<!{word})").otherwise("")
     after = F.when(F.substring(literal, -1, 1).rlike(word), f"(?!{word})").otherwise("")
     found = F.size(F.regexp_extract_all(text, F.concat(before, _quoted(literal), after), F.lit(0)))
-    return F.when(F.length(literal) == 0, 0).otherwise(found)
+    # a pattern of a row is compiled for each row, so only where there is something to count
+    return F.when(F.length(literal) == 0, 0).when(text.contains(literal), found).otherwise(F.when(text.isNotNull() & literal.isNotNull(), 0))
 
 
 def stable_hash(text: Column | str) -> Column:
