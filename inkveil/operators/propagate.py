@@ -22,7 +22,8 @@ def definition_clauses(text: Column) -> Column:
     def of(pattern: str, source: str) -> Column:
         return F.transform(located(text, pattern), lambda x: F.struct(x["at"].alias("at"), T.trim(F.regexp_extract(x["m"], pattern, 2)).alias("literal"), T.trim(F.regexp_extract(x["m"], pattern, 1)).alias("defined"), F.lit(source).alias("source")))
 
-    found = F.array_sort(F.concat(*(of(p, s) for p, s in CLAUSES)), lambda a, b: a["at"] - b["at"])
+    some = F.when(text.rlike("mean|함은|란"), F.concat(*(of(p, s) for p, s in CLAUSES)))
+    found = F.array_sort(F.coalesce(some, F.when(text.isNotNull(), F.array().cast("array<struct<at:int,literal:string,defined:string,source:string>>"))), lambda a, b: a["at"] - b["at"])
     kept = F.filter(found, lambda c: (c["literal"] != "") & (c["defined"] != ""))
     return F.transform(kept, lambda c: F.struct(c["literal"].alias("literal"), c["defined"].alias("defined"), c["source"].alias("source")))
 
@@ -36,7 +37,7 @@ def substring_variants(seed: Column, text: Column) -> Column:
         lengths = F.filter(F.sequence(n - 1, F.lit(1), F.lit(-1)), lambda k: (joined(k) != seed) & alone(k))
         endings = F.transform(F.array(*map(F.lit, L.COMPANY_ENDINGS)), lambda e: F.concat(tokens[0], F.lit(" "), e))
         named = F.filter(endings, lambda c: (c != seed) & (T.count_bounded(text, c) > 0))
-        return F.when(n >= 2, F.array_distinct(F.concat(F.transform(lengths, joined), named))).otherwise(F.array().cast("array<string>"))
+        return F.when((n >= 2) & text.contains(tokens[0]), F.array_distinct(F.concat(F.transform(lengths, joined), named))).otherwise(F.array().cast("array<string>"))
 
     return T.let(F.filter(F.split(seed, f"[{SPACE}]+"), lambda t: t != ""), of)
 
@@ -51,7 +52,7 @@ def propagate(seed: Column, text: Column, clauses: Column) -> Column:
     named = F.flatten(F.transform(linked, lambda c: F.array(forced(c["defined"]), forced(F.concat(F.lit("the "), c["defined"])), forced(F.concat(F.lit("The "), c["defined"])))))
     every = F.array_distinct(F.concat(F.array(entry(seed, literal)), F.transform(substring_variants(seed, text), lambda v: entry(v, kind(v))), named))
     counted = F.filter(F.transform(every, lambda e: F.struct(e["text"].alias("text"), e["kind"].alias("kind"), T.count_bounded(text, e["text"]).alias("count"))), lambda e: e["count"] > 0)
-    return F.concat(F.filter(counted, lambda e: e["kind"] == "literal"), F.filter(counted, lambda e: e["kind"] == "defined"))
+    return T.let(counted, lambda c: F.concat(F.filter(c, lambda e: e["kind"] == "literal"), F.filter(c, lambda e: e["kind"] == "defined")))
 
 
 def redaction_targets(groups: Column, include_defined: Column) -> Column:
