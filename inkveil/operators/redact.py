@@ -255,4 +255,6 @@ def decode_xml(text: Column, repeatedly: bool = False) -> Column:
     for name in ("quot", "apos", "lt", "gt", "amp"):  # the ampersand last, so that nothing is decoded twice
         named = F.replace(named, F.lit(f"&{name};"), F.lit(_NAMED[name]))
     plain = F.when(text.contains("&"), named).otherwise(text)
-    return F.when(text.contains("&#") | (text.contains("&amp;#") if repeatedly else F.lit(False)), run(text)).otherwise(plain)
+    numbered = text.contains("&#") | (text.contains("&amp;#") if repeatedly else F.lit(False))
+    # Python is handed what it decodes; else it would get every text
+    return F.when(numbered, run(F.when(numbered, text))).otherwise(plain)

@@ -22,6 +22,8 @@ from inkveil.operators import verify as V
 from inkveil.sources.shared import written
 
 MOST_INPUT, MOST_ENTRY = 50 << 20, 20 << 20
+#: Bytes of entries that unzipping holds before it hands them on.
+MOST_BATCH = 8 << 20
 #: The earliest date a ZIP entry can have, for output that does not depend on the clock.
 ENTRY_DATE = (1980, 1, 1, 0, 0, 0)
 PARAGRAPH = r"(?s)<w:p(?!P|r)(?:\s[^>]*)?(?:/>|>.*?</w:p>)"
@@ -34,12 +36,18 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
 
 
-def unzip(packages: DataFrame) -> DataFrame:
-    """doc_id, path, content, error: one row an entry, or one row with the error of the file."""
+def unzip(packages: DataFrame, contents: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, path, content, error: one row an entry, or one row with the error of the file.
+
+    Every entry is read and tested; ``contents`` names those whose content is wanted, if not all are.
+    """
     kind = packages.schema["doc_id"].dataType.simpleString()
 
+    columns = ["doc_id", "path", "content", "error"]
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            ready, held = [], 0
             for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
                 rows = []
                 if content is None or not 0 < len(content) <= MOST_INPUT:
@@ -52,11 +60,19 @@ def unzip(packages: DataFrame) -> DataFrame:
                                     # the limit is in characters of text; none is longer than its bytes
                                     big = e.file_size > 4 * MOST_ENTRY
                                     data = None if big else z.read(e)
-                                    big = big or len(data.decode("utf-8", "replace")) > MOST_ENTRY
-                                    rows.append((doc_id, e.filename, None if big else data, "EntryTooLargeError" if big else None))
+                                    big = big or (len(data) > MOST_ENTRY and len(data.decode("utf-8", "replace")) > MOST_ENTRY)
+                                    shown = not big and (contents is None or e.filename in contents)
+                                    rows.append((doc_id, e.filename, data if shown else None, "EntryTooLargeError" if big else None))
                     except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, ValueError):
                         rows = [(doc_id, None, None, "CorruptDocxError")]
-                yield pd.DataFrame(rows, columns=["doc_id", "path", "content", "error"])
+                # many small packages make one batch; a large one goes at once
+                ready += rows
+                held += sum(len(r[2] or b"") for r in rows)
+                if held > MOST_BATCH:
+                    yield pd.DataFrame(ready, columns=columns)
+                    ready, held = [], 0
+            if ready:
+                yield pd.DataFrame(ready, columns=columns)
 
     return packages.select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, path string, content binary, error string")
 
@@ -85,13 +101,21 @@ def scope_kind(path: Column) -> Column:
     return kind
 
 
-def scopes(entries: DataFrame) -> DataFrame:
-    """doc_id, scope_kind, scope_path, scope_ord, xml: text-bearing parts in reading order."""
+def scopes(entries: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, scope_kind, scope_path, scope_ord, xml: text-bearing parts in reading order.
+
+    With ``texts`` the last column is the text instead, which is made before parts of a
+    package meet: texts are much shorter than their mark-up.
+    """
     rows = entries.withColumn("scope_kind", scope_kind(F.col("path"))).filter("scope_kind is not null")
+    rows = rows.select("doc_id", "scope_kind", "path", F.col("content").cast("string").alias("xml"))
+    last = "xml"
+    if texts:
+        rows, last = scope_texts(rows), "text"
     rank = F.array_position(F.array(*map(F.lit, ("body", "footnotes", "endnotes", "comments", "header", "footer"))), F.col("scope_kind"))
     number = F.coalesce(F.regexp_extract("path", r"([0-9]+)\.xml$", 1).try_cast("long"), F.lit(0))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy(rank, number, "path")) - 1
-    return rows.select("doc_id", "scope_kind", F.col("path").alias("scope_path"), order.alias("scope_ord"), F.col("content").cast("string").alias("xml"))
+    return rows.select("doc_id", "scope_kind", F.col("path").alias("scope_path"), order.alias("scope_ord"), last)
 
 
 def scopes_of_kind(rows: DataFrame, *kinds: str) -> DataFrame:
@@ -124,7 +148,10 @@ def coalesced(paragraph: Column) -> Column:
 
 def scope_texts(rows: DataFrame) -> DataFrame:
     """Scopes with ``text``, their paragraphs joined by newlines."""
-    return rows.withColumn("text", F.array_join(paragraphs(F.col("xml")), "\n"))
+    raw = F.transform(F.regexp_extract_all("xml", F.lit(PARAGRAPH), F.lit(0)), lambda p: F.array_join(run_texts(p), ""))
+    # a column of its own, since decoding names its text many times
+    rows = rows.withColumn("text", F.array_join(raw, _PARA))
+    return rows.withColumn("text", F.replace(R.decode_xml(F.col("text")), F.lit(_PARA), F.lit("\n")))
 
 
 def rendered(rows: DataFrame) -> DataFrame:
@@ -148,7 +175,7 @@ def rels_parts(entries: DataFrame) -> DataFrame:
 def surfaces(entries: DataFrame) -> DataFrame:
     """doc_id, surface, scope_kind, scope_path, text: all that is verified."""
     parts = scopes(entries)
-    texts = scope_texts(parts).select("doc_id", F.lit("text").alias("surface"), "scope_kind", "scope_path", "text")
+    texts = scopes(entries, texts=True).select("doc_id", F.lit("text").alias("surface"), "scope_kind", "scope_path", "text")
     codes = parts.select("doc_id", F.lit("field").alias("surface"), "scope_kind", "scope_path", F.explode(instructions(F.col("xml"))).alias("text"))
     links = rels_parts(entries).select("doc_id", F.lit("rels").alias("surface"), F.lit("rels").alias("scope_kind"), F.col("path").alias("scope_path"), F.explode(relationship_targets(F.col("xml"))).alias("text"))
     decoded = codes.unionByName(links).withColumn("text", R.decode_xml(F.col("text"), repeatedly=True))
@@ -206,8 +233,8 @@ def finalize(entries: DataFrame, targets: DataFrame, repairs: DataFrame | None =
     plan = R.scope_plan(literals, targets, parts.select("doc_id", "scope_path"))
     after = written(rewrite(entries, written(plan, "plan"), repairs, placeholder), "redacted")
     seen = written(surfaces(after), "surfaces")
-    before = V.word_counts(scope_texts(parts), "words_before")
-    words = V.word_counts(scope_texts(scopes(after)), "words_after")
+    before = V.word_counts(scopes(entries, texts=True), "words_before")
+    words = V.word_counts(scopes(after, texts=True), "words_after")
     report = before.join(words, "doc_id").join(V.verify(seen, targets), "doc_id")
     lost = V.dropped_percent(F.col("words_before"), F.col("words_after"))
     report = report.withColumn("dropped_percent", lost).withColumn("sane", F.col("dropped_percent") <= V.DROP_THRESHOLD)
