@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from inkveil.functions import lexicon as L
 from inkveil.functions import text as T
 from inkveil.functions.patterns import SPACE, expand
-from inkveil.rules.registry import BY_ID, LEGACY, RULES, STANDARD, Rule, at_level, speaks
+from inkveil.rules.registry import BY_ID, LEGACY, RULES, STANDARD, Rule, at_level, led, speaks
 
 FINDING = "struct<text:string,rule_id:string,confidence:double,norm_text:string>"
 DEFINITION = "struct<label:string,referent:string,source:string>"
@@ -26,20 +26,30 @@ def _array(items: list[Column], kind: str) -> Column:
     return F.concat(*items) if items else F.array().cast(f"array<{kind}>")
 
 
-def located(norm: Column, pattern: str | Column, found: Column | None = None) -> Column:
-    """array<struct<m, at>>: matches with their places, from pieces and matches in turn.
+def mark_for(norm: Column) -> Column:
+    """What can stand between matches and the rest of a text: more of a character in a row than the text has of it."""
+    return F.concat(F.lit("\ufffe"), F.repeat(F.lit("\uffff"), F.length(norm) - F.length(F.replace(norm, F.lit("\uffff"), F.lit(""))) + 1))
 
-    ``found`` has the matches, if they are known; pieces are made only where there are any.
+
+def in_turn(norm: Column, pattern: str, mark: Column) -> Column:
+    """array<string>: what is before the first match, the match, what is before the next, and so on to the end.
+
+    A pattern is compiled once in a replacement, but for every row in a split.
     """
-    size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    found = F.regexp_extract_all(norm, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)) if found is None else found
-    place = lambda v, i: size(v["pieces"], i + 1) + size(v["found"], i)
+    return F.split(F.regexp_replace(norm, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+
 
-    def of(found: Column) -> Column:
-        both = F.struct(F.split(norm, pattern, -1).alias("pieces"), found.alias("found"))
-        return T.let(both, lambda v: F.transform(v["found"], lambda m, i: F.struct(m.alias("m"), place(v, i).alias("at"))))
+def placed(parts: Column) -> Column:
+    """array<struct<m, at>> of pieces and matches in turn."""
+    at = lambda p, k: F.aggregate(F.slice(p, F.lit(1), k), F.lit(0), lambda s, x: s + F.length(x))
+    one = lambda p, i: F.struct(p[2 * i - 1].alias("m"), at(p, 2 * i - 1).alias("at"))
+    some = lambda p: F.transform(F.sequence(F.lit(1), F.floor(F.size(p) / 2).cast("int")), lambda i: one(p, i))
+    return T.let(parts, lambda p: F.when(F.size(p) > 1, some(p)).otherwise(F.when(p.isNotNull(), F.array().cast("array<struct<m:string,at:int>>"))))
 
-    return T.let(found, lambda f: F.when(F.size(f) > 0, of(f)).otherwise(F.when(f.isNotNull(), F.array().cast("array<struct<m:string,at:int>>"))))
+
+def located(norm: Column, pattern: str) -> Column:
+    """array<struct<m, at>>: matches with their places."""
+    return T.let(mark_for(norm), lambda mark: placed(in_turn(norm, pattern, mark)))
 
 
 def matches(text: Column, norm: Column, offsets: Column, pattern: str, group: int = 0, inner: int = 0) -> Column:
@@ -57,37 +67,56 @@ def matches(text: Column, norm: Column, offsets: Column, pattern: str, group: in
     return F.when(norm == text, plain).otherwise(F.transform(located(norm, pattern), recover))
 
 
-def _applies(rule: Rule, norm: Column, language: Column | None) -> Column:
-    when = F.lit(True) if language is None else speaks(rule.languages, language)
-    return when & norm.contains(rule.hint) if rule.hint else when
+def _text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def _found_by(rule: Rule, spoken: bool) -> str:
+    """SQL of struct<id, found>: the matches of a rule, or pieces and matches in turn where normalisation changed the text.
 
-def findings_of(rules: Sequence[Rule], text: Column, norm: Column, offsets: Column, language: Column | None) -> Column:
-    """array of findings of the rules, in rule order.
+    It reads the columns norm, same, mark and language.  As SQL, a plan of all rules is built in fewer calls to the JVM.
+    """
+    hints = (rule.hint, *rule.hints) if rule.hint else rule.hints
+    when = [f"(language = 'mixed' OR language IN ({', '.join(map(_text, rule.languages))}))"] if spoken and "universal" not in rule.languages else []
+    when += ["(" + " OR ".join(f"contains(norm, {_text(h)})" for h in hints) + ")"] if hints else []
+    p = _text(rule.pattern)
+    search = f"CASE WHEN same THEN regexp_extract_all(norm, {p}, 0) ELSE split(regexp_replace(norm, {p}, concat(mark, '$0', mark)), mark, -1) END"
+    return f"named_struct('id', {_text(rule.id)}, 'found', CASE WHEN {' AND '.join(when) or 'true'} THEN {search} ELSE CAST(array() AS ARRAY<STRING>) END)"
+
+
+def findings_of(rules: Sequence[Rule], text: Column, spoken: bool = True) -> Column:
+    """array of findings of the rules, in rule order; of columns norm, offsets, same, mark and language (if ``spoken``).
 
     Patterns are constants of the plan, so each is compiled once; places and original
     characters are worked out for rules that found something in a text that normalisation changed.
     """
     if not rules:
         return F.array().cast(f"array<{FINDING}>")
-    none = F.array().cast("array<string>")
-    found = lambda r: F.when(_applies(r, norm, language), F.regexp_extract_all(norm, F.lit(r.pattern), F.lit(0))).otherwise(none)
-    table = F.array(*(F.struct(F.lit(r.id).alias("id"), F.lit(r.pattern).alias("pattern"), found(r).alias("found")) for r in rules))
+    same, offsets = F.col("same"), F.col("offsets")
+    table = F.expr(f"array({', '.join(_found_by(r, spoken) for r in rules)})")
     finding = lambda r, original, m: F.struct(original.alias("text"), r["id"].alias("rule_id"), F.lit(1.0).alias("confidence"), m.alias("norm_text"))
     original = lambda x: T.original_slice(text, offsets, x["at"], x["at"] + F.length(x["m"]))
 
     def of(r: Column) -> Column:
-        recovered = F.transform(located(norm, r["pattern"], r["found"]), lambda x: finding(r, original(x), x["m"]))
-        return F.when(norm == text, F.transform(r["found"], lambda m: finding(r, m, m))).otherwise(recovered)
+        recovered = F.transform(placed(r["found"]), lambda x: finding(r, original(x), x["m"]))
+        return F.when(same, F.transform(r["found"], lambda m: finding(r, m, m))).otherwise(recovered)
 
     passes = lambda x: T.all_of([(x["rule_id"] != r.id) | r.check(x["norm_text"]) for r in rules if r.check is not None])
-    every = F.flatten(F.transform(F.filter(table, lambda r: F.size(r["found"]) > 0), of))
+    every = F.flatten(F.transform(F.filter(table, lambda r: F.size(r["found"]) > F.when(same, 0).otherwise(1)), of))
     return F.filter(every, passes) if any(r.check is not None for r in rules) else every
 
 
-def regex_phase(text: Column, norm: Column, offsets: Column, language: Column | None, level: str = STANDARD, rules: Sequence[Rule] = RULES) -> Column:
+def regex_phase(text: Column, level: str = STANDARD, rules: Sequence[Rule] = RULES) -> Column:
     """array of findings of all rules of a level, in rule order."""
-    return findings_of([r for _, r in at_level(rules, level)], text, norm, offsets, language)
+    return findings_of([r for _, r in at_level(rules, level)], text)
+
+
+def _prepared(df: DataFrame, text: Column, **more: Callable[[Column], Column]) -> DataFrame:
+    """With columns norm, same, offsets and mark (where normalisation changed the text), and more of the normalised text."""
+    norm = F.col("norm")
+    same = norm == text
+    columns = {"same": same, "offsets": F.when(~same, T.original_offsets(text)), "mark": F.when(~same, mark_for(norm))}
+    return df.withColumn("norm", T.normalize(text)).withColumns(columns | {name: f(norm) for name, f in more.items()})
 
 
 # -- structural definitions -------------------------------------------------------------
@@ -191,10 +220,10 @@ def structural_phase(norm: Column, parsers: Sequence[tuple[str, Callable[[Column
 
 # -- heuristics ------------------------------------------------------------------------
 
-CLUSTER = expand(r"(?<![A-Za-z])[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,4}(?![A-Za-z])")
+CLUSTER = led("A-Za-z", expand(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,4}(?![A-Za-z])"))
 QUOTED = r"""["']([^"']{2,50})["']"""
-EN_TOKEN = expand(r"(?<![A-Za-z])[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}(?![A-Za-z])")
-KO_TOKEN = r"(?<![가-힣])[가-힣]{2,6}(?![가-힣])"
+EN_TOKEN = led("A-Za-z", expand(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}(?![A-Za-z])"))
+KO_TOKEN = led("가-힣", r"[가-힣]{2,6}(?![가-힣])")
 LEAST_REPEATS = 3
 
 
@@ -298,15 +327,13 @@ def analyze_text(df: DataFrame, level: str = STANDARD, language: str | None = No
     of the normalised one; ``language`` overrides both.  Null texts count as empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn("norm", T.normalize(text))
     norm = F.col("norm")
-    df = df.withColumn("offsets", F.when(norm != text, T.original_offsets(text)))
-    spoken = F.lit(language) if language else T.detect_language(text if language_of == "raw" else norm)
-    df = df.withColumn("language", spoken).withColumn("definitions", structural_phase(norm, parsers))
-    df = df.withColumn("regex_candidates", regex_phase(text, norm, F.col("offsets"), F.col("language"), level, rules))
+    spoken = lambda n: F.lit(language) if language else T.detect_language(text if language_of == "raw" else n)
+    df = _prepared(df, text, language=spoken, definitions=lambda n: structural_phase(n, parsers))
+    df = df.withColumn("regex_candidates", regex_phase(text, level, rules))
     seen = Context(text, norm, F.col("offsets"), F.col("definitions"), F.col("regex_candidates"))
     found = F.concat("regex_candidates", heuristic_phase(seen, F.col("language"), level, heuristics))
-    return df.withColumn("candidates", found).drop("regex_candidates", "offsets")
+    return df.withColumn("candidates", found).drop("regex_candidates", "offsets", "same", "mark")
 
 
 def candidates(analyzed: DataFrame, *keys: str) -> DataFrame:
@@ -328,8 +355,8 @@ def detect_all(df: DataFrame, *keys: str, level: str = STANDARD, language: str |
 def detect_legacy(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
     """The eight identifier kinds of all texts, kind by kind: keys, ord, kind, original, normalized."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn("norm", T.normalize(text)).withColumn("offsets", F.when(F.col("norm") != text, T.original_offsets(text)))
-    found = findings_of([BY_ID[f"identifiers.{s}"] for s in LEGACY], text, F.col("norm"), F.col("offsets"), None)
+    df = _prepared(df, text)
+    found = findings_of([BY_ID[f"identifiers.{s}"] for s in LEGACY], text, spoken=False)
     rows = df.select(*keys, F.posexplode(found).alias("ord", "c"))
     kind = F.create_map(*[x for s in LEGACY for x in (F.lit(f"identifiers.{s}"), F.lit(L.KIND_OF[s]))])
     return rows.select(*keys, "ord", F.element_at(kind, F.col("c.rule_id")).alias("kind"), F.col("c.text").alias("original"), F.col("c.norm_text").alias("normalized"))

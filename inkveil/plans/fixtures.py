@@ -58,13 +58,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by their keys in as many tasks as there are cores or parts.
+
+    A file, or one group of its rows, is one task's; and a task of the whole detection costs a second or two by itself.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()), *keys)
+
+
 def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A fixture's SQL over this directory's customers."""
     # Spark's literals read a backslash as an escape; the expressions have none
-    # a text is long and its key short, and a file of keys may be one task's: keys are dealt out before texts are made;
-    # to no more tasks than there are cores or parts, since a task of the whole detection costs a second or two by itself
-    keys = table(spark, sf_dir, "customer").select("c_custkey")
-    keys = keys.repartition(max(spark.sparkContext.defaultParallelism, keys.rdd.getNumPartitions()), "c_custkey")
+    # a text is long and its key short: keys are dealt out before texts are made
+    keys = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     return spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=keys)
 
 

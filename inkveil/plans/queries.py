@@ -18,7 +18,7 @@ from inkveil.operators import redact as R
 from inkveil.operators import targets as G
 from inkveil.operators import verify as V
 from inkveil.plans import oracle as O
-from inkveil.plans.fixtures import CONTRACTS, NOISY, contracts, noisy, table
+from inkveil.plans.fixtures import CONTRACTS, NOISY, contracts, dealt, noisy, table
 from inkveil.rules.registry import BY_ID, LEGACY, RULES, Rule
 from inkveil.sources import docx
 from inkveil.sources.shared import shared_path, written
@@ -156,7 +156,7 @@ def _detected(df: DataFrame, whole: bool = False) -> DataFrame:
 
 def _corpus_query(load: Query, whole: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _detected(load(spark, sf_dir), whole)
+        found = _detected(dealt(load(spark, sf_dir), "doc_id"), whole)
         return D.candidates(found, "doc_id").groupBy("doc_id", "rule_id", "text").agg(F.count("*").alias("n"))
 
     return run
@@ -262,7 +262,7 @@ def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns, which are the scopes of conversations, and contracts."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("scope_ord"), F.col("role").alias("scope_kind"), F.concat(F.lit("turn/"), F.col("turn").cast("string")).alias("scope_path"), "text")
     more = contracts(spark, sf_dir).select("doc_id", (F.lit(1000) + F.col("doc_id") % 2).alias("scope_ord"), F.col("lang").alias("scope_kind"), F.lit("contract").alias("scope_path"), "text")
-    return rows.unionByName(more)
+    return dealt(rows, "doc_id", "scope_ord").unionByName(more)
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,7 +531,7 @@ _REDACTED = f"SELECT d.doc_id, d.text AS text_before, coalesce(literals, []) AS
 
 def redacted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Documents with what the universal rules or the whole detection find, and without it; one narrow stage."""
-    found = _detected(documents(spark, sf_dir), whole)
+    found = _detected(dealt(documents(spark, sf_dir), "doc_id"), whole)
     texts, referents = F.transform("candidates", lambda c: c["text"]), F.transform("definitions", lambda d: d["referent"])
     literals = F.filter(F.array_distinct(F.concat(texts, referents)), lambda t: t != "")
     return found.select("doc_id", "text", literals.alias("literals")).withColumn("redacted", R.redact_text(F.col("text"), F.col("literals")))
