@@ -62,9 +62,12 @@ def corpus_of(texts: DataFrame) -> DataFrame:
 def variant_groups(corpus: DataFrame, seeds: DataFrame) -> DataFrame:
     """doc_id, seed_ord, seed, ord, text, kind, count: the forms of every seed of a document."""
     text = F.col("corpus")
-    rows = seeds.join(corpus.withColumnRenamed("text", "corpus"), "doc_id")
-    groups = propagate.propagate(F.col("seed"), text, propagate.definition_clauses(text))
-    return rows.select("doc_id", "seed_ord", "seed", F.posexplode(groups).alias("ord", "e")).select("doc_id", "seed_ord", "seed", "ord", "e.*")
+    # clauses once a document, whatever its seeds
+    known = corpus.withColumnRenamed("text", "corpus").withColumn("clauses", propagate.definition_clauses(text))
+    groups = propagate.propagate(F.col("seed"), text, F.col("clauses"))
+    # outer, since else a filter on the size repeats all of this in the plan, and the making of texts in every place that names one
+    rows = seeds.join(known, "doc_id").select("doc_id", "seed_ord", "seed", F.posexplode_outer(groups).alias("ord", "e")).filter("ord is not null")
+    return rows.select("doc_id", "seed_ord", "seed", "ord", "e.*")
 
 
 def collect_candidates(groups: DataFrame, kind: str) -> DataFrame:
