@@ -150,7 +150,7 @@ def count_occurrences(text: Column, literal: Column) -> Column:
     return F.when(F.length(literal) == 0, 0).otherwise(n).cast("int")
 
 
-def _quoted(literal: Column) -> Column:
+def quoted(literal: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
@@ -159,7 +159,7 @@ def count_bounded(text: Column, literal: Column) -> Column:
     word = "[A-Za-z0-9_]"
     before = F.when(F.substring(literal, 1, 1).rlike(word), f"(?<!{word})").otherwise("")
     after = F.when(F.substring(literal, -1, 1).rlike(word), f"(?!{word})").otherwise("")
-    found = F.size(F.regexp_extract_all(text, F.concat(before, _quoted(literal), after), F.lit(0)))
+    found = F.size(F.regexp_extract_all(text, F.concat(before, quoted(literal), after), F.lit(0)))
     # a pattern of a row is compiled for each row, so only where there is something to count
     return F.when(F.length(literal) == 0, 0).when(text.contains(literal), found).otherwise(F.when(text.isNotNull() & literal.isNotNull(), 0))
 
