@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkveil.functions import lexicon as L
 from inkveil.functions import text as T
@@ -145,11 +146,20 @@ def resolve(targets: DataFrame, selections: DataFrame, check: bool = True) -> Da
         unknown = unknown_selections(targets, selections).take(1)
         if unknown:
             raise ValueError(f"unknown selection target id: {unknown[0]['id']}")
-    chosen = targets.join(selections.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi")
+    return _resolved(targets.join(selections.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi"))
+
+
+def _resolved(chosen: DataFrame) -> DataFrame:
     literals = longest_first(F.col("literals"))
     return chosen.select("doc_id", "id", F.col("text").alias("display_text"), literals.alias("redaction_literals"), literals.alias("verification_literals"), "scopes")
 
 
+def resolve_defaults(targets: DataFrame) -> DataFrame:
+    """``resolve`` with ``default_selections``: an id is chosen where any target that has it is; targets are worked out once."""
+    on = F.bool_or("default_selected").over(Window.partitionBy("doc_id", "id"))
+    return _resolved(targets.withColumn("on", on).filter("on"))
+
+
 def resolve_strings(texts: DataFrame) -> DataFrame:
     """doc_id, targets (array) to resolved targets without scopes."""
     rows = texts.select("doc_id", F.explode(longest_first(F.col("targets"))).alias("t"))
