@@ -65,8 +65,7 @@ def variant_groups(corpus: DataFrame, seeds: DataFrame) -> DataFrame:
     # clauses once a document, whatever its seeds
     known = corpus.withColumnRenamed("text", "corpus").withColumn("clauses", propagate.definition_clauses(text))
     groups = propagate.propagate(F.col("seed"), text, F.col("clauses"))
-    # outer, since else a filter on the size repeats all of this in the plan, and the making of texts in every place that names one
-    rows = seeds.join(known, "doc_id").select("doc_id", "seed_ord", "seed", F.posexplode_outer(groups).alias("ord", "e")).filter("ord is not null")
+    rows = seeds.join(known, "doc_id").select("doc_id", "seed_ord", "seed", F.posexplode(groups).alias("ord", "e"))
     return rows.select("doc_id", "seed_ord", "seed", "ord", "e.*")
 
 
