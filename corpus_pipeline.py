@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import language, minhash_dedup, packing, quality, suffix_dedup
+from inkveil.llm.bloom import bloom_split
 from inkveil.llm.common import documents, id_fold, materialize, remove, small_batches, stage_folder, written
 from inkveil.llm.queries import labels, vocabulary
 
@@ -56,10 +57,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal in identifier and text one.  An empty table stays empty.
     """
     small_batches(spark)
-    found = materialize(minhash_dedup.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).filter("kept"), "kept-ids")
-    once = docs.join(found.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    again = docs.join(found.filter("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
+    found = minhash_dedup.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    # few identifiers go or are repeated; the others' texts stay where they are, without a shuffle
+    odd = materialize(found.filter("not kept or n > 1"), "odd-ids")
+    perhaps, others = bloom_split(docs, "doc_id", odd, "doc_id")
+    once = perhaps.join(odd, "doc_id", "left_anti").select(*docs.columns)
+    again = perhaps.join(odd.filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return others.unionByName(once).unionByName(again)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import rolling
+from inkveil.llm.bloom import bloom_split
 from inkveil.llm.common import materialize, release_memory
 from inkveil.llm.components import connected_components, forest
 
@@ -168,7 +169,10 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame(found, columns=["cid", "shingles"])
         release_memory()
 
-    rows = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
+    # the texts of most documents are not wanted: they are told by a few bits, and only the others are shuffled
+    wanted = materialize(wanted, "wanted-classes")
+    some, _ = bloom_split(docs, "doc_id", wanted, "rep")
+    rows = some.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
     return rows.select("cid", "text").mapInPandas(run, "cid binary, shingles binary").dropDuplicates(["cid"])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkveil.llm import language, packing, quality
+from inkveil.llm.bloom import bloom_split
 from inkveil.llm.common import id_fold
 from inkveil.llm.queries import vocabulary
 
@@ -69,6 +70,34 @@ def test_near_stage(spark, tmp_path):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_bloom_filter_misses_no_member(spark):
+    rows = spark.range(-3000, 3000).select(F.when(F.col("id") != 0, F.col("id") * 7919).alias("doc_id"))
+    perhaps, others = (Counter(r["doc_id"] for r in x.collect()) for x in bloom_split(rows, "doc_id", rows.filter("doc_id > 0"), "doc_id"))
+    assert perhaps + others == Counter(r["doc_id"] for r in rows.collect())
+    assert not any(i > 0 for i in others if i is not None) and len(perhaps) < 2999 + 60 and others[None] == 1
+    assert bloom_split(rows, "doc_id", rows.limit(0), "doc_id")[0].count() == 0
+
+
+def test_near_stage_leaves_texts_where_they_are(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(rng.bytes(8).hex() for _ in range(2000)), "en") for k in range(200)]
+    rows += [(1000 + k, rows[k][1] + " end", "en") for k in range(5)] + [rows[7], (8, "another text of the same number", "en"), (None, rows[9][1], "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/docs.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/docs.parquet")
+    written = lambda: sum(s.shuffleWriteBytes() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = Counter((r["doc_id"], len(r["text"])) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect())
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == Counter((i, len(t)) for i, t, _ in [*rows[:200], *rows[-2:]])
+    assert moved < sum(len(t) for _, t, _ in rows) / 2
+
+
 def test_repeat_and_pack_stages(spark, tmp_path):
     docs = table(spark, ODD)
     out = corpus_pipeline.repeat_removal(spark, docs, str(tmp_path))
