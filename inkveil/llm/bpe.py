@@ -70,14 +70,11 @@ class WordCache:
         missing = words - self.now.keys()
         if self.size > self.bound and missing:
             self.before, self.now, self.size, missing = self.now, {}, 0, words
-        old = self.before
-        new = []
-        for w in missing:
-            if w in old:
-                self.now[w] = ids = old[w]
-                self.size += len(w) + len(ids) + WORD_BYTES
-            else:
-                new.append(w)
+        known = missing & self.before.keys() if self.before else ()
+        for w in known:
+            self.now[w] = ids = self.before[w]
+            self.size += len(w) + len(ids) + WORD_BYTES
+        new = list(missing - known if known else missing)
         for k in range(0, len(new), 16_384):
             part = new[k : k + 16_384]
             learned = self.learn(part)

@@ -71,11 +71,27 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.cache = WordCache(self._library)
+        self.cache = WordCache(self._words)
         self.any_words, self.latin_words = regex.compile(SPLIT).findall, re.compile(LATIN_SPLIT).findall
         # added tokens; and sigma has two small forms, and a dotted I becomes two characters
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()], "\u03a3\u0130"
         self.unsettled = re.compile(f"[{_unsettled()}]").search
+        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Whether an id ends a word; None where the vocabulary does not mark that.
+        self.ends = None
+        if suffix and not any(re.search(r"\s", t) for t in self.special[0]):
+            self.ends = np.zeros(1 + max(vocab.values()), bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, which the library gets as one text: a call a word costs more than its merges."""
+        if self.ends is not None:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(words) > 0 and cut[-1] == len(ids):
+                data, at = ids.tobytes(), (np.r_[0, cut] * ids.itemsize).tolist()
+                return [data[a:z] for a, z in zip(at, at[1:])]
+        return self._library(words)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)

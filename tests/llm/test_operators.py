@@ -87,6 +87,14 @@ def test_words_are_cut_as_the_library_does(context):
     assert t.encode_batch(["a\U000107bb😀", "\U000190ff\U00015004"]) == t._library(["a\U000107bb😀", "\U000190ff\U00015004"])
 
 
+def test_many_words_are_one_call_of_the_library(monkeypatch):
+    t = token_output.WordTokenizer(queries.vocabulary("word_bpe_49k.json"))
+    words = ["abc", "'s", "'", "s", "\u00e9t\u00e9", "\u4e2d\u6587", "\U0001f389\U0001f389", ',"', "1", "</", "w", ">", "\u0301", "\u00df\u01c5", "a" * 300]
+    alone = t._library(words)
+    monkeypatch.setattr(t, "_library", lambda words: pytest.fail("a call a word"))
+    assert t._words(words) == alone
+
+
 def test_a_repeated_identifier_spans_shards(spark):
     rows = [(7, f"text number {k}") for k in range(400)] + [(k, "x") for k in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
