@@ -225,24 +225,32 @@ def repeated_windows(contexts: list[bytes], left: np.ndarray, group: np.ndarray,
     if s.n > 1:
         step[1:] = s.common(order[:-1], order[1:])
     step[s.group_start == np.arange(s.n)] = -1  # sorted places are within groups, so these start one
+    # the longest extension that a member shares with another: narrower ones are alone with their windows
+    most = np.empty(s.n, np.int64)
+    most[order] = np.maximum(step, np.r_[step[1:], -1])
+    low, high = np.maximum(low, WINDOW - most), np.minimum(high, s.left)
+    live = np.flatnonzero(low <= high)
+    if len(live) < 2:
+        return EMPTY
+    rank = np.empty(s.n, np.int64)
+    rank[order] = np.arange(s.n)
+    bytes_at = np.lib.stride_tricks.sliding_window_view(s.data, WINDOW)  # rows of it are copied whole; WINDOW is a multiple of 4
     members, offsets = [], []
-    for offset in range(int(low.min()), int(high.max()) + 1):
-        ok = (low <= offset) & (offset <= high) & (s.left >= offset) & (s.right >= WINDOW - offset)
-        if ok.sum() < 2:
+    for offset in range(int(low[live].min()), int(high[live].max()) + 1):
+        m = live[(low[live] <= offset) & (offset <= high[live])]
+        if len(m) < 2:
             continue
-        kind = np.empty(s.n, np.int64)
-        kind[order] = np.cumsum(step < WINDOW - offset)
-        m = np.flatnonzero(ok)
+        kind = np.cumsum(step < WINDOW - offset)[rank[m]]
         before = rolling.spans(s.prefix, s.anchor[m] - offset, s.anchor[m])
-        key = rolling.mix(before + rolling.mix(kind[m].astype(np.uint64)))
+        key = rolling.mix(before + rolling.mix(kind.astype(np.uint64)))
         by = np.argsort(key, kind="stable")
         run = np.r_[True, key[by][1:] != key[by][:-1]]
         first = by[np.flatnonzero(run)][np.cumsum(run) - 1]
         again, origin = m[by[~run]], m[first[~run]]
         if not len(again):
             continue
-        cover = np.arange(WINDOW) - offset
-        equal = np.concatenate([(s.data[s.anchor[again[k : k + 8192], None] + cover] == s.data[s.anchor[origin[k : k + 8192], None] + cover]).all(axis=1) for k in range(0, len(again), 8192)])
+        a, o = s.anchor[again] - offset, s.anchor[origin] - offset
+        equal = np.concatenate([(bytes_at[a[k : k + 8192]].view(np.uint32) == bytes_at[o[k : k + 8192]].view(np.uint32)).all(axis=1) for k in range(0, len(a), 8192)])
         if not equal.all():
             equal = _by_bytes(s, m[by], offset, run)
         members.append(again[equal])

@@ -166,6 +166,28 @@ def test_repeats_on_odd_rows(spark, docs, empty):
     assert out.columns == docs.columns and 0 < out.count() < len(ROWS)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_are_looked_at_only_where_suffixes_meet(monkeypatch, seed):
+    random, calls = np.random.default_rng(seed), []
+    mix = suffix_dedup.rolling.mix
+    monkeypatch.setattr(suffix_dedup.rolling, "mix", lambda h: calls.append(1) or mix(h))
+    contexts = [bytes(random.integers(97, 123, 168, np.uint8)) for _ in range(6)]
+    left, low, high = np.full(6, 68), np.full(6, 0), np.full(6, 68)
+    found = suffix_dedup.repeated_windows(contexts, left, np.zeros(6, np.int64), low, high)
+    assert not len(found[0]) and not calls
+    # of two groups; the first shares bytes 20 to 150 among three of its members
+    contexts = [contexts[0], *(c[:20] + contexts[0][20:150] + c[150:] for c in contexts[1:3]), contexts[3], contexts[4][:60] + contexts[3][60:], contexts[5]]
+    group = np.array([0, 0, 0, 1, 1, 1])
+    m, o = suffix_dedup.repeated_windows(contexts, left, group, low, high)
+    seen, expected = set(), set()
+    for k, c in enumerate(contexts):
+        for offset in range(69):
+            window = group[k], offset, c[68 - offset : 168 - offset]
+            expected |= {(k, offset)} if window in seen else set()
+            seen.add(window)
+    assert set(zip(m.tolist(), o.tolist())) == expected and len(m) == len(expected) > 60
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("ab"), rng.integers(1, 30))).encode() for _ in range(300)]
